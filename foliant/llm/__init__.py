@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("splitting_queries",)
+_MODULES = ("splitting_queries", "tokens_queries")
 
 
 def query_modules() -> list:
