@@ -78,7 +78,7 @@ def fold(pretoken: Column, held_ranks: Column) -> Column:
 
     def with_target(parts: Column) -> Column:
         """The pieces with the pair of the lowest rank, null if no pair has one."""
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), F.concat)
+        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(a, b))
         found = F.transform(F.array(pairs), lambda ps: F.struct(ps.alias("pairs"), F.transform(ps, rank_of).alias("ranks")))[0]
         target = F.transform(F.array(found), lambda f: F.get(f["pairs"], F.array_position(f["ranks"], F.array_min(f["ranks"])).cast("int") - 1))[0]
         return F.struct(parts.alias("parts"), F.when(F.size(parts) > 1, target).alias("target"))
