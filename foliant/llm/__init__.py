@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("splitting_queries", "tokens_queries", "leaks_queries", "quality_queries")
+_MODULES = ("encodings_queries", "splitting_queries", "tokens_queries", "leaks_queries", "quality_queries")
 
 
 def query_modules() -> list:
