@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("lookalikes_queries", "encodings_queries", "splitting_queries", "tokens_queries", "leaks_queries", "quality_queries")
+_MODULES = ("scans_queries", "lookalikes_queries", "encodings_queries", "splitting_queries", "tokens_queries", "leaks_queries", "quality_queries")
 
 
 def query_modules() -> list:
