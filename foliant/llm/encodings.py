@@ -41,7 +41,7 @@ LOST = regex.compile("[\uFFFD\x80-\x9F]")
 LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 #: Characters that writing in the corpus's scripts is made of; a decoded span must consist of them.
 ORDINARY = regex.compile(
-    r"[\x20-\x7e\xa0-ſƒƠơƯừ-̛̣̃̆̉Ά-ώЁЄІЇ"
+    r"[\x20-\x7e\x80-ſƒƠơƯừ-̛̣̃̆̉Ά-ώЁЄІЇ"
     r"А-яёєіїҐґẠ-ỹ -―‘-„†-•… ‰′″"
     r"‹› ⁠€№™Ω　-ヿ㐀-鿿가-힣﻿]+"
 )

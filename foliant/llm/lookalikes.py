@@ -141,7 +141,7 @@ def find_lookalikes(texts: DataFrame, keys: list[str], text: str, is_code: str)
     whole = F.when(t.rlike(r"[^\x00-\x7F]"), F.array(t))
     held = texts.where(t.rlike(r"[^\x00-\x7F]")).select(*keys, F.col(is_code).alias("is_code"), t.alias("_text"), F.explode(F.when(F.col(is_code), whole).otherwise(odd)).alias("word"))
     t = F.col("_text")
-    mostly = F.when(F.col("word").rlike(_ALIKE_ASCII), letters("Cyrillic") > 3 * letters("Latin")).otherwise(letters("Latin") > 3 * (letters("Cyrillic") + letters("Greek")))
+    mostly = F.when(F.col("word").rlike(_ALIKE_ASCII), letters("Cyrillic") > 3 * letters("Latin")).otherwise(letters("Latin") > 3 * (letters("Cyrillic") + letters("Greek") - F.length("word")))
     suits = F.when(~F.col("is_code") & (F.col("word").rlike(_WHOLLY_ALIKE) | F.col("word").rlike(_ALIKE_ASCII)), mostly).otherwise(F.lit(True))
     held = held.where(suits).select(*keys, "is_code", "word").distinct()
     distinct = forms(held.select("word", "is_code").distinct())

@@ -26,7 +26,7 @@ BOUNDARIES = (
 
 def core_pattern(room: Column) -> Column:
     """The pattern that takes one core of at most ``room`` code points."""
-    parts: list[Column] = [F.lit("(?s)")]
+    parts: list[Column] = [F.lit("(?s).{1,"), room.cast("string"), F.lit(r"}\z|")]  # the rest, if it fits
     for look, fill in BOUNDARIES:
         least = F.greatest(F.lit(1), (room * fill).cast("int")).cast("string")
         parts += [F.lit(".{"), least, F.lit(","), room.cast("string"), F.lit("}" + look + "|")]
