@@ -37,7 +37,7 @@ COMPATIBLE = ((0x2160, 0x217F), (0x212A, 0x212B), (0xFB00, 0xFB06), (0xFF01, 0xF
 PLAIN_BREAKS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 FORM_BUCKETS = 4096
 _ODD = (
-    rf"[{INVISIBLE}{SPACES}{HYPHENS}{''.join(SAME_SCRIPT)}\p{{M}}Ⅰ-ⅿK-Åﬀ-ﬆ！-ￜ\x{{1D400}}-\x{{1D7FF}}]"
+    rf"[{INVISIBLE}{SPACES}{HYPHENS}{''.join(SAME_SCRIPT)}\p{{M}}\x{{2160}}-\x{{217F}}\x{{212A}}\x{{212B}}\x{{FB00}}-\x{{FB06}}\x{{FF01}}-\x{{FFDC}}\x{{1D400}}-\x{{1D7FF}}]"
     r"|\p{IsLatin}[\p{IsCyrillic}\p{IsGreek}]|[\p{IsCyrillic}\p{IsGreek}]\p{IsLatin}|\p{IsCyrillic}\p{IsGreek}|\p{IsGreek}\p{IsCyrillic}"
 )
 _WHOLLY_ALIKE = rf"^[{ALIKE}][{ALIKE}0-9]*$|^[0-9]+[{ALIKE}]+$"
