@@ -126,7 +126,7 @@ def rate_limit_breaches(spark: SparkSession, root: str) -> DataFrame:
 
 def retention_expired(spark: SparkSession, root: str) -> DataFrame:
     newest = table(spark, root, "events").groupBy("user_id").agg(F.max("ts").alias("modified"))
-    return expired(newest, "modified", datetime(2024, 2, 1), 5)
+    return expired(newest, "modified", datetime(2024, 2, 1), 2)
 
 
 QUERIES = {
@@ -189,5 +189,5 @@ SQL = {
         SELECT count(*) AS cases, count_if(is_exact) AS exact, count_if(NOT is_valid) AS needs_review, count_if(first_wrong) AS initially_invalid, count_if(healed) AS recovered,
             count_if(is_valid AND NOT is_exact) AS silent_failures, count_if(healed) / count_if(first_wrong) AS recovery_rate, avg(attempts) AS mean_attempts FROM x""",
     "rate_limit_breaches": "SELECT user_id, time_bucket(INTERVAL '1 minute', ts) AS window_start, count(*) AS requests FROM events GROUP BY 1, 2 HAVING count(*) > 1",
-    "retention_expired": "SELECT user_id, max(ts) AS modified FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 5 DAY",
+    "retention_expired": "SELECT user_id, max(ts) AS modified FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-02-01' - INTERVAL 2 DAY",
 }
