@@ -173,7 +173,7 @@ def _identity(*parts: Column) -> Column:
 def page_blocks(pages: DataFrame) -> DataFrame:
     """(page_id, outer_pos = -1, inner_pos, identity, block): a row per non-null element of ``blocks``."""
     flat = pages.select("page_id", F.posexplode("blocks").alias("inner_pos", "block")).where(F.col("block").isNotNull())
-    return flat.select("page_id", F.lit(-1).alias("outer_pos"), "inner_pos", _identity(F.to_json("block")).alias("identity"), "block")
+    return flat.select("page_id", F.lit(-1).alias("outer_pos"), "inner_pos", _identity(F.lit("block"), F.to_json("block")).alias("identity"), "block")
 
 
 def page_tables(pages: DataFrame) -> DataFrame:
@@ -182,11 +182,11 @@ def page_tables(pages: DataFrame) -> DataFrame:
     flat = pages.select("page_id", F.posexplode("page_tables").alias("outer_pos", "t")).where(F.col("t").isNotNull())
     cells = F.transform(
         F.coalesce(F.col("t.cells"), F.array()),
-        lambda c: F.when(c.isNull(), F.lit("null")).otherwise(_identity(F.to_json(c))),
+        lambda c: F.when(c.isNull(), F.lit("null")).otherwise(_identity(F.lit("cell"), F.to_json(c))),
     )
     own = F.to_json(F.struct(F.col("t.table_id").alias("table_id"), F.col("t.page_index").alias("page_index"), F.col("t.confidence").alias("confidence")))
     return flat.select(
-        "page_id", "outer_pos", _identity(own, F.array_join(cells, ",")).alias("identity"), F.col("t.cells").alias("cells"),
+        "page_id", "outer_pos", _identity(F.lit("table"), own, F.array_join(cells, ",")).alias("identity"), F.col("t.cells").alias("cells"),
         F.col("t.table_id").alias("table_id"), F.col("t.page_index").alias("page_index"), F.col("t.confidence").alias("confidence"),
     )
 
@@ -195,4 +195,56 @@ def page_cells(pages: DataFrame) -> DataFrame:
     """(page_id, outer_pos, inner_pos, identity, cell): a row per non-null cell of each table."""
     flat = pages.select("page_id", F.posexplode("page_tables").alias("outer_pos", "t"))
     flat = flat.select("page_id", "outer_pos", F.posexplode("t.cells").alias("inner_pos", "cell")).where(F.col("cell").isNotNull())
-    return flat.select("page_id", "outer_pos", "inner_pos", _identity(F.to_json("cell")).alias("identity"), "cell")
+    return flat.select("page_id", "outer_pos", "inner_pos", _identity(F.lit("cell"), F.to_json("cell")).alias("identity"), "cell")
+
+
+def page_nodes(pages: DataFrame, bodies: bool = True) -> DataFrame:
+    """One row per page, block, table and cell, with the columns that ``bridge`` and ``object_store`` take. The identity
+    of a table is made from those of its cells, that of a page from those of its blocks and tables; ``page_id`` and
+    ``ingested_at`` are no part of it. ``item_no`` is the position in the array, ``outer_item`` that of a cell's table
+    (else -1). Null elements are no nodes but keep their ordinal and node number."""
+    fields = [c for c in pages.columns if c not in ("page_id", "blocks", "page_tables", "ingested_at")]
+
+    def with_refs(own: Column, **parts: Column) -> Column:
+        lists = [F.concat(F.lit(f',"{name}":['), F.array_join(F.transform(ids, lambda i: F.concat(F.lit('{"$ref":"'), i, F.lit('"}'))), ",", "null"), F.lit("]")) for name, ids in parts.items()]
+        return F.concat(F.lit('{"own":'), own, *lists, F.lit("}"))
+
+    def ids(of: Column) -> Column:
+        return F.transform(of, lambda n: F.when(n.isNull(), None).otherwise(n["identity"]))
+
+    def joined(of: Column) -> Column:
+        return F.array_join(of, ",", "null")
+
+    def node(number, parent, kind: str, key: str | None, ordinal, item, outer, identity: Column, body: Column) -> Column:
+        whole = {"node_no": number, "parent_no": parent, "ordinal": ordinal, "item_no": item, "outer_item": outer}
+        return F.struct(
+            *((v if isinstance(v, Column) else F.lit(v)).cast("int").alias(k) for k, v in whole.items()),
+            F.lit(kind).alias("kind"), F.lit(key).cast("string").alias("entry_key"), identity.alias("identity"),
+            (body if bodies else F.lit(None)).cast("string").alias("body"),
+        )
+
+    def hashed(of: Column, kind: str) -> Column:
+        return F.transform(F.coalesce(of, F.array()), lambda x: F.when(x.isNotNull(), F.struct(_identity(F.lit(kind), F.to_json(x)).alias("identity"), (F.to_json(x) if bodies else F.lit(None)).cast("string").alias("body"))))
+
+    def table_of(t: Column) -> Column:
+        own = F.to_json(F.struct(t["table_id"].alias("table_id"), t["page_index"].alias("page_index"), t["confidence"].alias("confidence")))
+        return F.when(t.isNotNull(), F.struct(own.alias("own"), hashed(t["cells"], "cell").alias("cells")))
+
+    def table_hashed(t: Column) -> Column:
+        cells = ids(t["cells"])
+        identity = _identity(F.lit("table"), t["own"], joined(cells))
+        return F.when(t.isNotNull(), F.struct(identity.alias("identity"), with_refs(t["own"], cells=cells).alias("body"), t["cells"].alias("cells")))
+
+    flat = pages.select("page_id", F.to_json(F.struct(*fields)).alias("own") if fields else F.lit("{}").alias("own"), hashed(F.col("blocks"), "block").alias("b"), F.transform(F.coalesce("page_tables", F.array()), table_of).alias("t"))
+    flat = flat.withColumn("t", F.transform("t", table_hashed))
+    first = F.size("b") + 1
+
+    def number_of(at: Column) -> Column:
+        return F.aggregate(F.slice("t", F.lit(1), at), first, lambda n, t: n + 1 + F.coalesce(F.size(t["cells"]), F.lit(0)))
+
+    page = node(0, -1, "page", None, 0, -1, -1, _identity(F.lit("page"), F.col("own"), joined(ids(F.col("b"))), joined(ids(F.col("t")))), with_refs(F.col("own"), blocks=ids(F.col("b")), page_tables=ids(F.col("t"))))
+    blocks = F.transform("b", lambda b, at: F.when(b.isNotNull(), node(at + 1, 0, "block", "blocks", at, at, -1, b["identity"], b["body"])))
+    tables = F.transform("t", lambda t, at: F.when(t.isNotNull(), node(number_of(at), 0, "table", "page_tables", at, at, -1, t["identity"], t["body"])))
+    cells = F.transform("t", lambda t, at: F.transform(F.coalesce(t["cells"], F.array()), lambda c, i: F.when(c.isNotNull(), node(number_of(at) + 1 + i, number_of(at), "cell", "cells", i, i, at, c["identity"], c["body"]))))
+    nodes = flat.select("page_id", F.explode(F.concat(F.array(page), blocks, tables, F.flatten(cells))).alias("n")).where("n is not null")
+    return nodes.select(F.col("page_id").alias("rec_id"), "n.node_no", "n.parent_no", "n.kind", "n.entry_key", "n.ordinal", "n.item_no", "n.outer_item", "n.identity", "n.body")

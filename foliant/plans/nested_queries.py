@@ -15,31 +15,27 @@ def _record_nodes(spark: SparkSession, root: str, bodies: bool) -> DataFrame:
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     """One row per block, cell and item; a page or record that is delivered twice counts once."""
-    pages = table(spark, root, "ocr_pages")
-    items = _record_nodes(spark, root, bodies=False).where("item_no >= 0")
+    parts = nested.bridge(nested.page_nodes(table(spark, root, "ocr_pages"), bodies=False)).where("entry_key in ('blocks', 'cells')")
+    items = nested.bridge(_record_nodes(spark, root, bodies=False)).where("item_no >= 0")
+    kinds = ((parts, F.when(F.col("entry_key") == "blocks", "block").otherwise("cell")), (items, F.lit("item")))
     rows = [
-        (nested.page_blocks(pages), "block", "page_id", "outer_pos", "inner_pos"),
-        (nested.page_cells(pages), "cell", "page_id", "outer_pos", "inner_pos"),
-        (items, "item", "rec_id", "outer_item", "item_no"),
-    ]
-    flat = None
-    for df, kind, parent, outer, inner in rows:
-        one = df.select(
-            F.lit(kind).alias("kind"), F.col(parent).alias("parent_id"),
-            F.col(outer).cast("bigint").alias("outer_pos"), F.col(inner).cast("bigint").alias("inner_pos"),
-        )
-        flat = one if flat is None else flat.unionByName(one)
-    return flat.distinct()
+        df.select(kind.alias("kind"), F.col("rec_id").alias("parent_id"), F.col("outer_item").cast("bigint").alias("outer_pos"), F.col("item_no").cast("bigint").alias("inner_pos"))
+        for df, kind in kinds
+    ]
+    return rows[0].unionByName(rows[1]).distinct()
 
 
 def p1_objects(spark: SparkSession, root: str) -> DataFrame:
-    """Each distinct object or array of the purchase records once, by its Merkle identity."""
-    return nested.object_store(_record_nodes(spark, root, bodies=True)).select("identity", "kind", "body")
+    """Each distinct object or array of the purchase records, and page, block, table and cell, once, by its Merkle identity."""
+    nodes = [_record_nodes(spark, root, bodies=True), nested.page_nodes(table(spark, root, "ocr_pages"))]
+    return nested.object_store(nodes[0].select(nodes[1].columns).unionByName(nodes[1])).select("identity", "kind", "body")
 
 
 def p1_bridge(spark: SparkSession, root: str) -> DataFrame:
-    """Every occurrence of those objects, with its parent and ordinal."""
-    return nested.bridge(_record_nodes(spark, root, bodies=False)).distinct()
+    """Every occurrence of those objects, with its parent and ordinal; ``src`` is ``record`` or ``page``."""
+    records = nested.bridge(_record_nodes(spark, root, bodies=False)).withColumn("src", F.lit("record"))
+    pages = nested.bridge(nested.page_nodes(table(spark, root, "ocr_pages"), bodies=False)).withColumn("src", F.lit("page"))
+    return records.unionByName(pages).distinct()
 
 
 def p1_cells(spark: SparkSession, root: str) -> DataFrame:
