@@ -49,14 +49,15 @@ def _parse(text: str):
 
 
 def _embedded(text: str):
-    """The object or array that a string holds as JSON, else None."""
-    if text.lstrip("﻿ \t\r\n")[:1] not in ("{", "["):
-        return None
-    try:
-        value = _parse(text.strip("﻿ \t\r\n"))
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, list) else None
+    """The object or array that a string holds as JSON, however often encoded, else None."""
+    while isinstance(text, str) and not isinstance(text, _Number):
+        if text.lstrip("\ufeff \t\r\n")[:1] not in ("{", "[", '"'):
+            return None
+        try:
+            text = _parse(text.strip("\ufeff \t\r\n"))
+        except (ValueError, RecursionError):
+            return None
+    return text if isinstance(text, list) else None
 
 
 def nodes_of(text: str, item_key: str | None = None) -> list[list]:
