@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.functions.legacy import TCVN3, VIETNAMESE
-from foliant.tables import cut
+from foliant.tables import cut, looked_up
 
 #: Code pages that texts are wrongly read in. Fixed values.
 READ_AS = ("cp1252", "cp1250", "cp1251", "cp1254", "cp1258", "cp437", "cp850", "cp852", "cp866", "mac_roman", "koi8_r", "iso8859_2", "iso8859_5", "mac_cyrillic")
@@ -123,7 +123,7 @@ def decode_spans(word: str, charset: str) -> str:
 def repair_multibyte(word: str) -> str | None:
     """The word first written, or None if nothing in it was multibyte."""
     given = word
-    for _ in range(4):  # a text may have been read wrongly several times
+    while True:  # a text may have been read wrongly several times; each round lowers the cost, or the length at equal cost
         best, least = word, irregularity(word)
         plain = changes("".join(c for c in word if c < "\x80"))
         for charset in READ_AS:
@@ -192,7 +192,8 @@ def core_of(word: str) -> str:
 
 
 def words_beyond_ascii(text: Column) -> Column:
-    return F.filter(F.array_distinct(F.split(text, r"[ \t\r\n]+")), lambda w: w.rlike(r"[^\x00-\x7F]"))
+    """The distinct words with a character beyond ASCII: those that have more bytes than code points."""
+    return F.filter(F.array_distinct(F.split(text, r"[ \t\r\n]+")), lambda w: F.octet_length(w) > F.length(w))
 
 
 def garbled_words(words: DataFrame) -> DataFrame:
@@ -215,7 +216,9 @@ def garbled_words(words: DataFrame) -> DataFrame:
                     rows += [(word, n, "reading", other, core_of(other)) for other in single_byte_readings(word) if len(core_of(other)) >= 2 and LETTERS.search(core_of(other))]
             yield pd.DataFrame(rows, columns=["word", "n", "how", "restored", "core"])
 
-    read_words = words.mapInPandas(read, "word string, n bigint, how string, restored string, core string")
+    # Few bytes but much work: spread over all cores before, and written once, as four branches read it.
+    spread = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word")
+    read_words = cut(spread.mapInPandas(read, "word string, n bigint, how string, restored string, core string"))
     sure = read_words.where("how in ('structure', 'lost')").select("word", "restored")
     frequent = read_words.where("how = 'self'").groupBy("core").agg(F.sum("n").alias("frequency"))
     own = read_words.where("how = 'self'").join(frequent, "core").select("word", F.col("frequency").alias("own"))
@@ -228,9 +231,10 @@ def garbled_words(words: DataFrame) -> DataFrame:
 def find_garbled(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
     """(keys, word, restored): the garbled words of each text. ``keys`` name a text; repeated rows count once in what
     comes out, though each counts for the words' frequencies."""
-    held = texts.select(*keys, F.explode(words_beyond_ascii(F.col(text))).alias("word"))
+    beyond = texts.where(F.octet_length(text) > F.length(text))
+    held = beyond.select(*keys, F.explode(words_beyond_ascii(F.col(text))).alias("word"))
     counts = held.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return held.join(cut(garbled_words(counts)), "word").select(*keys, "word", "restored").distinct()
+    return looked_up(held, cut(garbled_words(counts)), "word").select(*keys, "word", "restored").distinct()
 
 
 def restore(texts: DataFrame, keys: list[str], text: str, garbled: DataFrame) -> DataFrame:

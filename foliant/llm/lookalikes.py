@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.llm.tokens import bucketed_map, look_up
+from foliant.tables import cut, looked_up
 
 #: Letters of Cyrillic and Greek that look like the Latin letters below them. Fixed values.
 ALIKE = "АВЕЅІЈКМНОРСТУХԚԜаеѕіјорсухԛԝһΑΒΕΖΗΙΚΜΝΟΡΤΥΧονχιЁё"
@@ -128,24 +129,28 @@ def forms(words: DataFrame) -> DataFrame:
     return rebuilt.select("word", "is_code", form.alias("form"), (wholly | to_cyrillic).alias("wholly_alike"))
 
 
+def _units(text: Column, is_code: Column) -> Column:
+    """What is judged by itself: a code as a whole; of other texts the words beyond ASCII, and where Cyrillic is written
+    also those of ASCII letters that look like Cyrillic ones."""
+    cyrillic = text.rlike("[\u0400-\u04FF]{4}")
+    words = F.filter(F.array_distinct(F.split(text, PLAIN_BREAKS)), lambda u: (F.octet_length(u) > F.length(u)) | cyrillic & u.rlike(_ALIKE_ASCII))
+    return F.when(is_code, F.array(text)).otherwise(words)
+
+
 def find_lookalikes(texts: DataFrame, keys: list[str], text: str, is_code: str) -> DataFrame:
     """(keys, word, form): the words of each text that are not in their one form. A code is one word as a whole."""
-    t = F.col(text)
+    beyond = texts.where(F.octet_length(text) > F.length(text)).select(*keys, F.col(is_code).alias("is_code"), F.col(text).alias("_text"))
+    held = beyond.select(*keys, "is_code", "_text", F.explode(_units(F.col("_text"), F.col("is_code"))).alias("word"))
+    odd = F.col("is_code") | F.col("word").rlike(_ODD) | F.col("word").rlike(_WHOLLY_ALIKE) | F.col("word").rlike(_ALIKE_ASCII)
+    distinct = held.groupBy("word", "is_code").agg(F.lit(None).alias("_")).drop("_").where(odd)
+    to = cut(forms(cut(distinct)).where("form <> word or is_code"))
+    found = looked_up(held, to, ["word", "is_code"])
 
     def letters(script: str) -> Column:
-        return F.length(F.regexp_replace(t, rf"[^\p{{Is{script}}}]", ""))
-
-    units = F.array_distinct(F.split(t, PLAIN_BREAKS))
-    cyrillic = t.rlike(r"\p{IsCyrillic}{4}")
-    odd = F.filter(units, lambda u: u.rlike(_ODD) | u.rlike(_WHOLLY_ALIKE) | cyrillic & u.rlike(_ALIKE_ASCII))
-    whole = F.when(t.rlike(r"[^\x00-\x7F]"), F.array(t))
-    held = texts.where(t.rlike(r"[^\x00-\x7F]")).select(*keys, F.col(is_code).alias("is_code"), t.alias("_text"), F.explode(F.when(F.col(is_code), whole).otherwise(odd)).alias("word"))
-    t = F.col("_text")
+        return F.length(F.regexp_replace("_text", rf"[^\p{{Is{script}}}]", ""))
+
     mostly = F.when(F.col("word").rlike(_ALIKE_ASCII), letters("Cyrillic") > 3 * letters("Latin")).otherwise(letters("Latin") > 3 * (letters("Cyrillic") + letters("Greek") - F.length("word")))
-    suits = F.when(~F.col("is_code") & (F.col("word").rlike(_WHOLLY_ALIKE) | F.col("word").rlike(_ALIKE_ASCII)), mostly).otherwise(F.lit(True))
-    held = held.where(suits).select(*keys, "is_code", "word").distinct()
-    distinct = forms(held.select("word", "is_code").distinct())
-    return held.join(distinct, ["word", "is_code"]).where("form <> word or is_code").select(*keys, "word", "form")
+    return found.where(F.when(F.col("wholly_alike"), mostly).otherwise(F.lit(True))).select(*keys, "word", "form").distinct()
 
 
 def unify(texts: DataFrame, keys: list[str], text: str, is_code: str, found: DataFrame) -> DataFrame:

@@ -20,16 +20,21 @@ def _texts(spark: SparkSession, root: str) -> DataFrame:
     return blocks.unionByName(cells).unionByName(items)
 
 
-def p3_found(spark: SparkSession, root: str) -> DataFrame:
+def _found(spark: SparkSession, root: str, texts: DataFrame) -> DataFrame:
     """A text with a wrongly read encoding is a case of p4 and none here."""
-    found = lookalikes.find_lookalikes(_texts(spark, root), KEYS, "text", "is_code").select(*KEYS).distinct()
+    found = lookalikes.find_lookalikes(texts, KEYS, "text", "is_code")
     garbled = encodings.find_garbled(encodings_queries.texts(spark, root), KEYS, "text").select(*KEYS).distinct()
     return found.join(garbled, KEYS, "left_anti")
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return _found(spark, root, _texts(spark, root)).select(*KEYS).distinct()
+
+
 def p3_unified(spark: SparkSession, root: str) -> DataFrame:
+    """Texts that p4 restores are left to it: another form of their characters could no longer be restored."""
     texts = _texts(spark, root)
-    return lookalikes.unify(texts, KEYS, "text", "is_code", lookalikes.find_lookalikes(texts, KEYS, "text", "is_code"))
+    return lookalikes.unify(texts, KEYS, "text", "is_code", _found(spark, root, texts))
 
 
 QUERIES = {"p3_found": p3_found, "p3_unified": p3_unified}
