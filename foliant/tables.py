@@ -32,12 +32,13 @@ def shared_folder(spark: SparkSession) -> str:
     return shared
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read from there, so that its lineage ends here, columns can be
-    pruned and the planner knows its size. The files go when the driver's JVM ends."""
+    pruned and the planner knows its size. ``by`` is a column of few values, each in files of its own. The files go when
+    the driver's JVM ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/cut-{uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, partitionBy=[by] if by else None)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
