@@ -4,6 +4,7 @@ import unicodedata
 from pyspark.sql import functions as F
 
 from foliant.llm import encodings, lookalikes, scans
+from foliant.tables import cut
 
 
 def garbled(spark, texts):
@@ -65,24 +66,65 @@ def test_forms_equal_unicode(spark):
         assert r.form == unicodedata.normalize("NFC", r.word)
 
 
-def noise(spark, texts):
-    df = spark.createDataFrame([(i, t, "r", i, False) for i, t in enumerate(texts)], "id int, t string, request string, page int, num boolean")
-    words = scans.vocabulary(df, "t")
-    return df, scans.find_cuts(df, ["id"], "t", words), scans.find_misread(df, ["id"], "t", "num", words), scans.find_furniture(df, ["id"], "t", "request", "page", True)
+KEYS = ["src", "rec_id"]
+
+
+def noise(spark, texts, numbers=()):
+    """Each text a block on a page of its own."""
+    rows = [("block", i, t, "r", i, None, 0, i in numbers) for i, t in enumerate(texts) if t]
+    df = spark.createDataFrame(rows, "src string, rec_id bigint, text string, request_id string, page int, pages int, pos int, is_number boolean")
+    read = cut(scans.read_texts(df), by="part")
+    tokens = cut(read.where("part = 'token'").groupBy("token").agg(F.sum("n").alias("n")))
+    words = cut(scans.vocabulary(tokens))
+    return df, scans.find_cuts(read.where("part = 'end'"), words), scans.find_misread(df, tokens, words), scans.find_furniture(read)
+
+
+def ids(df):
+    return {r.rec_id for r in df.collect()}
+
+
+def repaired(spark, texts, numbers=()):
+    df, cuts, misreads, furniture = noise(spark, texts, numbers)
+    return {r.rec_id: r.text for r in scans.repair(df.select(*KEYS, "text"), KEYS, "text", cuts, misreads, furniture).collect()}
+
+
+CLEAN = ["the container is settled before the long-term delivery of the tax-free goods under contract"] * 60
 
 
 def test_scan_noise(spark):
-    clean = ["the container is settled before the long-term delivery of the tax-free goods under contract"] * 60
-    n = len(clean)
-    texts = clean + ["the con-\ntainer is here", "the tax-\nfree goods", "the con¬ \ntainer", "the c0ntainer and deliverv", "the settlcd contract", "amount 13963Z6.43 due", "Page 3", "[Page 3]", None, "", "Copy for Mills (1)\ntext", "Copy for Mills (2)\ntext", "Copy for Mi1ls (3)\ntext"]
+    n = len(CLEAN)
+    texts = CLEAN + ["the con-\ntainer is here", "the tax-\nfree goods", "the con¬ \ntainer", "the c0ntainer and deliverv", "the settlcd contract", "amount 13963Z6.43 due", "Page 3", "[Page 3]", None, "", "Copy for Mills (1)\ntext", "Copy for Mills (2)\ntext", "Copy for Mi1ls (3)\ntext"]
     df, cuts, misreads, furniture = noise(spark, texts)
-    assert {r.id for r in cuts.collect()} == {n, n + 2}
-    assert {r.id - n for r in misreads.collect()} >= {3, 4, 5} and not {r.id for r in misreads.collect()} & set(range(n + 3))
-    assert {r.id - n for r in furniture.collect()} == {6, 10, 11, 12}
-    fixed = {r.id - n: r.t for r in scans.repair(df.select("id", "t"), ["id"], "t", cuts, misreads, furniture).collect()}
+    assert ids(cuts) == {n, n + 2}
+    found = {i - n for i in ids(misreads)}
+    assert found >= {3, 4, 5} and not found & ({*range(-n, 3)})
+    assert {6, 10, 11, 12} <= {i - n for i in ids(furniture)}
+    fixed = {r.rec_id - n: r.text for r in scans.repair(df.select(*KEYS, "text"), KEYS, "text", cuts, misreads, furniture).collect()}
     assert fixed[0] == "the container is here" and fixed[2] == "the container" and fixed[4] == "the settled contract" and fixed[10] == "text" and fixed[6] == ""
 
 
+def test_repair_keeps_case_and_what_stands_around(spark):
+    n = len(CLEAN)
+    fixed = repaired(spark, CLEAN + ["THE C0NTAINER", "the 'settlcd' one", "Settlcd (c0ntainer),", "a con-\n   tainer and a long-\n  term one", "con-\ntents of the con-\ntainer"])
+    assert [fixed.get(n + i) for i in range(4)] == ["THE CONTAINER", "the 'settled' one", "Settled (container),", "a container and a long-term one"]
+    assert "con-" not in fixed[n + 4].replace("con-tents", "")
+
+
+def test_long_words_and_furniture_of_any_length(spark):
+    n, word, head = len(CLEAN), "abcdefghij" * 30, "Notes for the carrier of " + "Mills " * 30
+    texts = CLEAN + [f"an {word} here"] * 20 + [f"an {word[:8]}1{word[9:]} here"]
+    texts += [f"{head}\nfirst text of the page", f"{head}\nsecond text of the page", f"{head}\nthird text of the page", "—" * 40 + " 12 " + "—" * 40]
+    _, _, misreads, furniture = noise(spark, texts)
+    assert n + 20 in ids(misreads) and {n + 21, n + 22, n + 23, n + 24} <= ids(furniture)
+
+
+def test_misread_by_shuffle_equals_broadcast(spark, monkeypatch):
+    texts = CLEAN + ["the c0ntainer and settlcd", "S", "8S.40"] * 3
+    by_broadcast = set(noise(spark, texts, numbers={61, 62})[2].collect())
+    monkeypatch.setattr(scans, "BROADCAST_BYTES", 0)
+    assert set(noise(spark, texts, numbers={61, 62})[2].collect()) == by_broadcast and by_broadcast
+
+
 def test_ranker_on_held_out_words():
     rng = random.Random(3)
     vocabulary = [("".join(rng.choice("abcdefghilmnorstuvw") for _ in range(rng.randint(5, 11))), 500) for _ in range(400)]
@@ -91,7 +133,7 @@ def test_ranker_on_held_out_words():
     for word, _ in vocabulary[300:]:
         read = scans.misread(word, rng)
         if read and read != word:
-            frame = scans.pd.DataFrame([(read, word, 5, 500, 1.0), (read, vocabulary[0][0], 5, 500, 0.1)], columns=["word", "candidate", "n", "m", "shared"])
+            frame = scans.pd.DataFrame([(read, word, 5, 500), (read, vocabulary[0][0], 5, 500)], columns=["word", "candidate", "n", "m"])
             good, bad = model.probability(scans._features(frame))
             total += 1
             right += good > 0.5 > bad
@@ -100,5 +142,16 @@ def test_ranker_on_held_out_words():
 
 def test_noise_of_nothing(spark):
     df, cuts, misreads, furniture = noise(spark, [None, ""])
-    assert cuts.count() == misreads.count() == furniture.count() == 0
-    assert df.select(F.count("*")).first()[0] == 2
+    assert cuts.count() == misreads.count() == furniture.count() == df.count() == 0
+
+
+def test_texts_of_p4_are_left_by_p3(spark, tmp_path):
+    garbled_text = "квалité de ｔest " + "của hàng được giao".encode().decode("latin-1")
+    rows = [(1, garbled_text), (2, "ｔｏｇｅｔｈｅｒ now")]
+    spark.createDataFrame(rows, "block_no long, content string").write.parquet(f"{tmp_path}/blocks.parquet")
+    spark.createDataFrame([], "extraction_id long, markdown string").write.parquet(f"{tmp_path}/extractions.parquet")
+    spark.createDataFrame([], "cell_no long, text string, col_idx int, row_idx int").write.parquet(f"{tmp_path}/table_cells.parquet")
+    spark.createDataFrame([], "item_id long, customer_number string").write.parquet(f"{tmp_path}/extraction_items.parquet")
+    from foliant.llm import lookalikes_queries
+
+    assert [(r.rec_id, r.text) for r in lookalikes_queries.p3_unified(spark, str(tmp_path)).collect()] == [(2, "together now")]
