@@ -37,6 +37,17 @@ def test_spans(spark):
     assert leaks.without_spans(df, "id", "t", r).first().t == "Start:  end."
 
 
+def test_spans_where_folding_changes_words(spark, monkeypatch):
+    texts = ["İ start of it: one two three four, tail words", "İstanbul straße ONE TWO three four ǰ end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    tests = spark.createDataFrame([(7, "one TWO three four"), (8, "istanbul strasse one")], "h long, t string")
+    r = leaks.find_leaks(df, "id", "t", tests, "h", "t", 3)
+    assert {(x.id, x.item_id, texts[x.id][x.start : x.end]) for x in r.collect()} == {(0, 7, "one two three four"), (1, 7, "ONE TWO three four"), (1, 8, "İstanbul straße ONE")}
+    assert {x.id: x.t for x in leaks.without_spans(df, "id", "t", r).collect()} == {0: "İ start of it: , tail words", 1: " ǰ end"}
+    monkeypatch.setattr(leaks, "MAX_TEST_WORDS", 5)
+    assert set(leaks.find_leaks(df, "id", "t", tests, "h", "t", 3).collect()) == set(r.collect())
+
+
 def test_quality(spark):
     prose = ["The court held that the appeal was dismissed, and that the costs were not to be paid by the defendant. " * k for k in range(2, 40)]
     junk = ["| 1 | 2 |\n| 3 | 4 |\n" * 30, "x9 7f a1 b2\n" * 60, "Home Login Search Print " * 30]
