@@ -110,14 +110,24 @@ def mask_url(c: Column) -> Column:
     return F.regexp_replace(c, r"^([^:/]+://[^:/@]*):.*@", "$1:***@")
 
 
+#: A marker of a page; openings that stand apart. Fixed values.
+PAGE_MARKER = r"^(?:#{1,6}\s*)?\[(?:Tr\.|Page)\s*\d+\s*\]\s*:?"
+STANDS_APART = r"(?iu)^Ngày(?![\p{L}\p{N}_])|(?-i)^(?:Người dịch:|Hiệu đính:|VIỆN )"
+LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+
+
 def compact_markdown(c: Column) -> Column:
-    """Prose with its blank lines made regular: none but before page markers, headings, dates and fixed openings.
-    Texts with tables or code are only stripped. The rule for a line reads the kept line before it."""
-    page = r"^\[(?:Page|Tr\.) [0-9]+\]"
-    opens = rf"{page}|^#|^Ngày|^(?:Kính gửi|Điều|Phụ lục|Ghi chú)"
-    kept = F.filter(F.transform(F.split(c, r"\r\n|\r|\n"), lambda x: F.regexp_replace(x, rf"{BLANK}+$", "")), lambda x: ustrip(x) != "")
-    spaced = F.transform(kept, lambda x, i: F.when((i > 0) & (x.rlike(opens) | F.get(kept, i - 1).rlike(rf"{page}\s*$|^#")), F.concat(F.lit("\n"), x)).otherwise(x))
-    return F.when(c.rlike(r"(?i)<table|```|(?m)^\s*\|.*\|\s*$"), ustrip(c)).otherwise(F.array_join(spaced, "\n"))
+    """Prose without its blank lines, but for one before a page marker, after a heading, and before a date or a fixed
+    opening; none follows a marker that stands alone. Texts with tables or code are only stripped; null where nothing is
+    left. The rule for a line reads the kept line before it."""
+    lines = F.filter(F.transform(F.split(c, LINE_ENDS), ustrip), lambda x: x != "")
+
+    def apart(x: Column, before: Column) -> Column:
+        return F.when(x.rlike(PAGE_MARKER), True).when(before.rlike(rf"{PAGE_MARKER}\s*$"), False).otherwise(before.startswith("#") | x.rlike(STANDS_APART))
+
+    spaced = F.transform(lines, lambda x, i: F.when((i > 0) & apart(x, F.get(lines, i - 1)), F.concat(F.lit("\n"), x)).otherwise(x))
+    structured = c.contains("<table") | c.contains("```") | c.rlike(r"(?m)^\s*\|.*\|\s*$")
+    return F.nullif(F.when(structured, ustrip(c)).otherwise(F.array_join(spaced, "\n")), F.lit(""))
 
 
 def tables_only(c: Column) -> Column:

@@ -63,3 +63,12 @@ def replace_items(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def newest_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     return ranked.where("_rank = 1").drop("_rank")
+
+
+def denormalized(answer: Column) -> tuple[Column, Column]:
+    """The number and the day that a record is searched by: the number as stripped text, null if blank; the day where it
+    is written DD-MM-YYYY, else null."""
+    v = F.try_parse_json(answer)
+    text = ustrip(F.try_variant_get(v, "$.po_date", "string"))
+    day = F.try_to_date(F.when(text.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), text), "d-M-yyyy")
+    return F.nullif(ustrip(F.try_variant_get(v, "$.po_number", "string")), F.lit("")), day

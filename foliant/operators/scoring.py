@@ -20,14 +20,19 @@ def same_number(a: Column, b: Column) -> Column:
     return F.coalesce((near | (a == b)) & ~F.isnan(a) & ~F.isnan(b), a.isNull() & b.isNull())
 
 
+def item_key(code: Column) -> Column:
+    """A line's code as lines are paired by it: stripped; a null code is a key of its own, named as Python writes it."""
+    return F.coalesce(ustrip(code.cast("string")), F.lit("None"))
+
+
 def align(expected: DataFrame, actual: DataFrame, case: str, code: str, pos: str) -> DataFrame:
-    """Lines of equal code paired in their order: a row has ``expected``, ``actual`` or both as structs. Skewed codes
+    """Lines of equal key paired in their order: a row has ``expected``, ``actual`` or both as structs. Skewed codes
     do not gather, since a key is the case, the code and the line's rank in it."""
 
     def ranked(df: DataFrame, name: str) -> DataFrame:
-        order = Window.partitionBy(case, code).orderBy(pos)
-        inside = df.withColumn("_rn", F.row_number().over(order))
-        return inside.select(case, code, "_rn", F.struct(*df.columns).alias(name))
+        keyed = df.select(F.struct(*df.columns).alias(name), F.col(case), F.col(pos).alias("_pos"), item_key(F.col(code)).alias("_key"))
+        inside = keyed.withColumn("_rn", F.row_number().over(Window.partitionBy(case, "_key").orderBy("_pos")))
+        return inside.select(case, F.col("_key").alias(code), "_rn", name)
 
     return ranked(expected, "expected").join(ranked(actual, "actual"), [case, code, "_rn"], "full_outer")
 
@@ -42,6 +47,50 @@ def field_results(aligned: DataFrame, case: str, code: str, fields: dict[str, st
     return pairs.select(case, code, "_rn", F.explode(F.array(*results)).alias("r")).select(case, code, "_rn", "r.field", "r.correct")
 
 
+HEADER_FIELDS = ("po_number", "po_date")
+
+
+def header_results(expected: DataFrame, actual: DataFrame, case: str) -> DataFrame:
+    """(case, field, correct) of the header fields of each labelled record; a case without an answer has null fields."""
+    both = expected.select(case, F.struct(*HEADER_FIELDS).alias("e")).join(actual.select(case, F.struct(*HEADER_FIELDS).alias("a")), case, "left")
+    each = [F.struct(F.lit(n).alias("field"), same_text(F.col(f"e.{n}"), F.col(f"a.{n}")).alias("correct")) for n in HEADER_FIELDS]
+    return both.select(case, F.explode(F.array(*each)).alias("r")).select(case, "r.field", "r.correct")
+
+
+def labelled_fields(results: DataFrame, case: str, code: str) -> DataFrame:
+    """Item results with their field named after the line: items[CODE].field, items[?] for a blank code."""
+    label = F.concat(F.lit("items["), F.when(F.col(code) == "", F.lit("?")).otherwise(F.col(code)), F.lit("]."), F.col("field"))
+    return results.select(case, label.alias("field"), "correct")
+
+
+def case_scores(expected: DataFrame, header: DataFrame, items: DataFrame, aligned: DataFrame, case: str, code: str) -> DataFrame:
+    """A row for each case of ``expected``: total and correct fields, accuracy, the codes of missed and spurious lines in
+    their order, the wrong fields, and whether all is exact."""
+    fields = header.select(case, "field", "correct").unionByName(labelled_fields(items, case, code))
+    per_case = fields.groupBy(case).agg(
+        F.count(F.lit(1)).alias("total_fields"), F.count_if("correct").alias("correct_fields"),
+        F.array_sort(F.collect_list(F.when(~F.col("correct"), F.col("field")))).alias("wrong_fields"),
+    )
+    sides = aligned.groupBy(case).agg(
+        F.array_sort(F.collect_list(F.when(F.col("actual").isNull(), F.col(code)))).alias("missed_items"),
+        F.array_sort(F.collect_list(F.when(F.col("expected").isNull(), F.col(code)))).alias("spurious_items"),
+    )
+    none = F.array().cast("array<string>")
+    scored = expected.select(case).join(per_case, case, "left").join(sides, case, "left")
+    scored = scored.select(
+        case, F.coalesce("total_fields", F.lit(0)).alias("total_fields"), F.coalesce("correct_fields", F.lit(0)).alias("correct_fields"),
+        F.coalesce("missed_items", none).alias("missed_items"), F.coalesce("spurious_items", none).alias("spurious_items"), F.coalesce("wrong_fields", none).alias("wrong_fields"),
+    )
+    exact = (F.size("missed_items") == 0) & (F.size("spurious_items") == 0) & (F.col("correct_fields") == F.col("total_fields"))
+    accuracy = F.coalesce(F.col("correct_fields") / F.nullif(F.col("total_fields"), F.lit(0)), F.lit(0.0))
+    return scored.withColumns({"accuracy": accuracy, "is_exact": exact})
+
+
+def case_status(is_valid: Column, is_exact: Column, healed: Column, error: Column) -> Column:
+    """error, needs_review, healed, exact or wrong (valid, but not what is labelled)."""
+    return F.when(error.isNotNull(), "error").when(~is_valid, "needs_review").when(~is_exact, "wrong").when(healed, "healed").otherwise("exact")
+
+
 def totals(results: DataFrame) -> DataFrame:
     """Pooled over all fields of all cases."""
     correct = F.count_if("correct")

@@ -31,6 +31,8 @@ def line_violation(code: Column, quantity: Column, price: Column, extension: Col
     """The first thing wrong with a line: code, quantity, price, total."""
     return (
         F.when(F.coalesce(ustrip(code), F.lit("")) == "", violation(path, "the item code is blank"))
+        .when(quantity.isNull(), violation(path, "the quantity is missing"))
+        .when(price.isNull(), violation(path, "the unit price is missing"))
         .when(quantity <= 0, violation(path, "the quantity must be positive"))
         .when(price < 0, violation(path, "the unit price must not be negative"))
         .when(off_total(quantity, price, extension, tolerance), violation(path, F.format_string("quantity times unit price is %.2f, not %.2f", (quantity * price).cast("double"), extension.cast("double"))))

@@ -116,6 +116,18 @@ _CORRUPT = rf"list_filter({_TOKENS}, lambda w: len(regexp_extract_all(w, '\p{{Nd
 _SUFFIX = r"regexp_extract(lower(source_filename), '\.([^./\\]+)$', 1)"
 
 SQL = {
+    "compact_markdown": r"""
+        WITH t AS (SELECT DISTINCT extraction_id, markdown AS m,
+            list_filter(list_transform(regexp_split_to_array(markdown, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]'),
+                lambda x: regexp_replace(x, '^[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+|[\s\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+$', '', 'g')), lambda x: x <> '') AS l FROM extractions),
+        s AS (SELECT extraction_id, m, list_transform(l, lambda x, i: CASE WHEN i > 1 AND (CASE
+                WHEN regexp_matches(x, '^(#{1,6}\s*)?\[(Tr\.|Page)\s*\d+\s*\]\s*:?') THEN true
+                WHEN regexp_matches(l[i - 1], '^(#{1,6}\s*)?\[(Tr\.|Page)\s*\d+\s*\]\s*:?\s*$') THEN false
+                ELSE starts_with(l[i - 1], '#') OR regexp_matches(x, '(?i)^ngày([^\p{L}\p{N}_]|$)') OR regexp_matches(x, '^(Người dịch:|Hiệu đính:|VIỆN )') END)
+                THEN chr(10) || x ELSE x END) AS l FROM t)
+        SELECT extraction_id, nullif(CASE WHEN contains(m, '<table') OR contains(m, '```') OR regexp_matches(m, '(?m)^\s*\|.*\|\s*$')
+            THEN regexp_replace(m, '^[\s\x1C-\x1F\x{85}\x{A0}]+|[\s\x1C-\x1F\x{85}\x{A0}]+$', '', 'g') ELSE array_to_string(l, chr(10)) END, '') AS markdown FROM s
+    """,
     "useful_chars": f"SELECT doc_id, text IS NULL AS is_null, {_USEFUL} AS chars FROM documents",
     "readable_ratio": f"SELECT doc_id, round(CASE WHEN {_USEFUL} > 0 THEN {_READABLE} / {_USEFUL}::DOUBLE ELSE 0 END, 9) AS ratio FROM documents",
     "text_usable": f"""SELECT doc_id, coalesce({_USEFUL} >= 80 AND {_READABLE} / greatest(1, {_USEFUL}) >= 0.7

@@ -7,11 +7,12 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.operators import history, scoring, validation
+from foliant.operators import history, records, scoring, validation
 from foliant.streaming.jobs import expired, rate_breaches
 from foliant.tables import table
 
 TODAY = date(2024, 1, 1)
+TODAY_STORED = date(2025, 3, 1)
 NEWEST = 50
 
 
@@ -86,12 +87,61 @@ def history_upsert(spark: SparkSession, root: str) -> DataFrame:
 
 
 def line_items_flatten(spark: SparkSession, root: str) -> DataFrame:
-    kind = "array<struct<toto_number:string,customer_number:string,quantity:string,unit_price:string,extension:string>>"
-    records = table(spark, root, "extractions").where("validation_status = 'valid'").select("extraction_id", F.from_json(F.get_json_object("data_json", "$.items"), kind).alias("items"))
-    flat = history.flatten_items(records, "extraction_id", "items").distinct()
+    """The lines of every stored record, whatever its status; entries of ``items`` that are no objects keep their number."""
+    text = F.try_variant_get
+    lines = F.transform(
+        records.lines_of(records.parsed(F.col("data_json"))),
+        lambda x: F.struct(*(F.when(F.schema_of_variant(x).startswith("OBJECT"), text(x, f"$.{n}", "string")).alias(n) for n in scoring.ITEM_FIELDS)),
+    )
+    stored = table(spark, root, "extractions").select("extraction_id", "data_json").distinct().select("extraction_id", lines.alias("items"))
+    flat = history.flatten_items(stored, "extraction_id", "items")
     return flat.select("extraction_id", F.col("line_number").cast("bigint").alias("line_number"), "toto_number", F.col("quantity").cast("double").alias("quantity"))
 
 
+def _newest(spark: SparkSession, root: str) -> DataFrame:
+    """Each record once, as last delivered."""
+    return table(spark, root, "extractions").groupBy("extraction_id").agg(F.max_by("data_json", "ingested_at").alias("data_json"))
+
+
+def record_violations(spark: SparkSession, root: str) -> DataFrame:
+    """Every finding of the typed reading and of the rules, of each stored answer."""
+    found = records.answer_findings(F.col("data_json"), F.lit(TODAY_STORED))
+    return _newest(spark, root).select("extraction_id", F.posexplode(found).alias("pos", "v")).select("extraction_id", "v.field", "v.severity").distinct()
+
+
+def correction_digest(spark: SparkSession, root: str) -> DataFrame:
+    """How many errors the correction of each failed answer names."""
+    found = records.answer_findings(F.col("data_json"), F.lit(TODAY_STORED))
+    asked = _newest(spark, root).select("extraction_id", records.correction_text(F.col("data_json"), found).alias("text")).where("text is not null")
+    named = F.size(F.regexp_extract_all(F.element_at(F.split("text", "\n\nProblems:\n"), -1), F.lit(r"(?m)^[0-9]+\. field `"), F.lit(0)))
+    return asked.select("extraction_id", named.cast("bigint").alias("errors"))
+
+
+def header_fields(spark: SparkSession, root: str) -> DataFrame:
+    """The number and the date that a stored record is found by: text or null, and the day if it is DD-MM-YYYY."""
+    number, day = history.denormalized(F.col("data_json"))
+    return _newest(spark, root).select("extraction_id", number.alias("po_number"), day.cast("string").alias("po_date"))
+
+
+def history_store(spark: SparkSession, root: str) -> DataFrame:
+    """The store after all deliveries of ``extractions`` in the order of their arrival: one row for each request, what a
+    first write sets from the earliest, the rest from the latest."""
+    rows = table(spark, root, "extractions")
+    return history.upsert(rows, ["request_id"], [F.col("ingested_at"), F.col("extraction_id")], ["created_at"], ["extraction_id", "validation_status", "attempts", "page_count"])
+
+
+def case_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Each stored record against itself with lines moved as in ``_scored`` and every seventh number lost."""
+    aligned = _scored(spark, root)
+    items = scoring.field_results(aligned, "extraction_id", "toto_number", _FIELDS)
+    stored = header_fields(spark, root)
+    cases = stored.join(table(spark, root, "extraction_items").select("extraction_id").distinct(), "extraction_id")
+    answers = cases.withColumn("po_number", F.when(F.col("extraction_id") % 7 != 0, F.col("po_number")))
+    scored = scoring.case_scores(cases, scoring.header_results(cases, answers, "extraction_id"), items, aligned, "extraction_id", "toto_number")
+    lists = {name: F.array_join(name, "|") for name in ("missed_items", "spurious_items")}
+    return scored.select("extraction_id", "total_fields", "correct_fields", "accuracy", "is_exact", *(v.alias(k) for k, v in lists.items()), F.size("wrong_fields").cast("bigint").alias("wrong_fields"))
+
+
 def _scored(spark: SparkSession, root: str) -> DataFrame:
     """The stored lines against themselves with every fifth price moved and every ninth line left out."""
     lines = table(spark, root, "extraction_items").select("extraction_id", "line_number", "item_id", "toto_number", "customer_number", F.col("quantity").cast("double").alias("quantity"), F.col("unit_price").cast("double").alias("unit_price")).distinct()
@@ -133,7 +183,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         line_total_violations, needs_review_latest, po_date_rules, duplicate_item_codes, zero_price_warnings, record_lines_checked, self_heal_outcome,
-        history_page, history_count, history_by_item, history_detail, history_upsert, line_items_flatten, score_items_missed, accuracy_by_field,
+        history_page, history_count, history_by_item, history_detail, history_upsert, line_items_flatten, record_violations, correction_digest, header_fields, history_store, case_scores, score_items_missed, accuracy_by_field,
         eval_totals, eval_report, rate_limit_breaches, retention_expired,
     )
 }
@@ -145,6 +195,34 @@ _REPLAY = """
     h AS (SELECT l_orderkey, min(k) FILTER (WHERE ok) AS f, max(k) AS n FROM a WHERE k <= 3 GROUP BY l_orderkey),
     o AS (SELECT l_orderkey, coalesce(f, 3) AS attempts, f IS NOT NULL AS is_valid, coalesce(f > 1, false) AS healed, coalesce(f, n) AS used FROM h)
 """
+_NEWEST = "newest AS (SELECT extraction_id, arg_max(data_json, ingested_at) AS data_json FROM extractions GROUP BY 1)"
+_NUMBER = "nullif(trim(data_json ->> '$.po_number'), '')"
+_DAY = "CASE WHEN regexp_matches(trim(data_json ->> '$.po_date'), '^[0-9]{1,2}-[0-9]{1,2}-[0-9]{4}$') THEN try_strptime(trim(data_json ->> '$.po_date'), '%d-%m-%Y')::DATE END"
+#: The typed reading in SQL: what is wrong with fields and lines, then the header, then the rules.
+_FINDINGS = f"""{_NEWEST},
+    i AS (SELECT extraction_id, unnest(json_extract(data_json, '$.items[*]')) AS x, generate_subscripts(json_extract(data_json, '$.items[*]'), 1) - 1 AS k FROM newest WHERE json_type(data_json, '$.items') = 'ARRAY'),
+    s AS (SELECT extraction_id, name, json_type(data_json, '$.' || name) AS t FROM newest, (VALUES ('po_number'), ('po_date')) n(name)),
+    fields AS (SELECT extraction_id, name AS field FROM s WHERE t IS NULL OR t <> 'VARCHAR'
+        UNION ALL SELECT extraction_id, 'items' FROM newest WHERE coalesce(json_type(data_json, '$.items'), '') <> 'ARRAY'
+        UNION ALL SELECT extraction_id, unnest(list_filter(json_keys(data_json), lambda y: y NOT IN ('po_number', 'po_date', 'items'))) FROM newest),
+    l AS (SELECT extraction_id, k, x, name, json_type(x, '$.' || name) AS t, x ->> ('$.' || name) AS v FROM i, (VALUES ('toto_number'), ('customer_number'), ('quantity'), ('unit_price'), ('extension')) n(name)
+        WHERE json_type(x) = 'OBJECT'),
+    line_fields AS (SELECT extraction_id, k, 'items.' || k || '.' || name AS field FROM l WHERE t IS NULL OR (t = 'NULL' AND name NOT IN ('customer_number', 'extension'))
+            OR (name IN ('toto_number', 'customer_number') AND t NOT IN ('VARCHAR', 'NULL'))
+            OR (name NOT IN ('toto_number', 'customer_number') AND (t IN ('ARRAY', 'OBJECT') OR (t = 'VARCHAR' AND try_cast(trim(v) AS DOUBLE) IS NULL)))
+        UNION ALL SELECT extraction_id, k, 'items.' || k FROM i WHERE json_type(x) <> 'OBJECT'
+        UNION ALL SELECT extraction_id, k, 'items.' || k || '.' || unnest(list_filter(json_keys(x), lambda y: y NOT IN ('toto_number', 'customer_number', 'quantity', 'unit_price', 'extension'))) FROM i WHERE json_type(x) = 'OBJECT'),
+    g AS (SELECT extraction_id, k, trim(x ->> '$.toto_number') AS code, try_cast(x ->> '$.quantity' AS DOUBLE) AS q, try_cast(x ->> '$.unit_price' AS DOUBLE) AS p, try_cast(x ->> '$.extension' AS DOUBLE) AS e
+        FROM i ANTI JOIN line_fields USING (extraction_id, k)),
+    line_rules AS (SELECT extraction_id, 'items.' || k AS field FROM g WHERE code = '' OR q <= 0 OR p < 0 OR abs(q * p - e) > greatest(0.01, abs(e) * 0.01)),
+    typed AS (SELECT extraction_id, field FROM fields UNION ALL SELECT extraction_id, field FROM line_fields UNION ALL SELECT extraction_id, field FROM line_rules),
+    clean AS (SELECT extraction_id, trim(data_json ->> '$.po_number') AS n, trim(data_json ->> '$.po_date') AS d, json_array_length(data_json, '$.items') AS c FROM newest ANTI JOIN typed USING (extraction_id)),
+    header AS (SELECT extraction_id, CASE WHEN n = '' THEN 'po_number' WHEN d = '' THEN 'po_date' ELSE 'items' END AS field FROM clean WHERE n = '' OR d = '' OR c = 0),
+    good AS (SELECT extraction_id, d, CASE WHEN regexp_matches(d, '^[0-9]{{1,2}}-[0-9]{{1,2}}-[0-9]{{4}}$') THEN try_strptime(d, '%d-%m-%Y')::DATE END AS day FROM clean ANTI JOIN header USING (extraction_id)),
+    every_finding AS (SELECT extraction_id, field, 'error' AS severity FROM typed UNION ALL SELECT extraction_id, field, 'error' FROM header
+        UNION ALL SELECT extraction_id, 'po_date', CASE WHEN day IS NULL OR year(day) < 2000 THEN 'error' ELSE 'warning' END FROM good WHERE day IS NULL OR year(day) < 2000 OR day - DATE '2025-03-01' > 365
+        UNION ALL SELECT extraction_id, 'items', 'warning' FROM g SEMI JOIN good USING (extraction_id) GROUP BY extraction_id, code HAVING count(*) > 1
+        UNION ALL SELECT extraction_id, 'items.' || k || '.unit_price', 'warning' FROM g SEMI JOIN good USING (extraction_id) WHERE p = 0)"""
 _SCORED = """
     e AS (SELECT DISTINCT extraction_id, line_number, item_id, toto_number, customer_number, quantity::DOUBLE AS quantity, unit_price::DOUBLE AS unit_price FROM extraction_items),
     er AS (SELECT *, row_number() OVER (PARTITION BY extraction_id, toto_number ORDER BY line_number) AS rn FROM e),
@@ -178,10 +256,23 @@ SQL = {
             row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate DESC, l_partkey DESC, l_suppkey DESC, l_quantity DESC, l_extendedprice DESC) AS z FROM lineitem)
         SELECT l_orderkey, l_linenumber, max(l_shipdate) FILTER (WHERE a = 1) AS l_shipdate, max(l_partkey) FILTER (WHERE a = 1) AS l_partkey,
             max(l_quantity) FILTER (WHERE z = 1) AS l_quantity, max(l_extendedprice) FILTER (WHERE z = 1) AS l_extendedprice FROM r GROUP BY 1, 2""",
-    "line_items_flatten": """WITH x AS (SELECT DISTINCT extraction_id, data_json FROM extractions WHERE validation_status = 'valid'),
+    "line_items_flatten": """WITH x AS (SELECT DISTINCT extraction_id, data_json FROM extractions WHERE json_type(data_json, '$.items') = 'ARRAY'),
         i AS (SELECT extraction_id, unnest(json_extract(data_json, '$.items[*]')) AS item, generate_subscripts(json_extract(data_json, '$.items[*]'), 1) AS line_number FROM x)
         SELECT extraction_id, line_number::BIGINT AS line_number, trim(item ->> '$.toto_number') AS toto_number,
-            coalesce(try_cast(item ->> '$.quantity' AS DOUBLE), 0)::DECIMAL(18, 4)::DOUBLE AS quantity FROM i WHERE trim(coalesce(item ->> '$.toto_number', '')) <> ''""",
+            coalesce(try_cast(item ->> '$.quantity' AS DOUBLE), 0)::DECIMAL(18, 4)::DOUBLE AS quantity FROM i WHERE json_type(item) = 'OBJECT' AND trim(coalesce(item ->> '$.toto_number', '')) <> ''""",
+    "record_violations": f"WITH {_FINDINGS} SELECT DISTINCT extraction_id, field, severity FROM every_finding",
+    "correction_digest": f"WITH {_FINDINGS} SELECT extraction_id, count(*) AS errors FROM every_finding WHERE severity = 'error' GROUP BY 1",
+    "header_fields": f"WITH {_NEWEST} SELECT extraction_id, {_NUMBER} AS po_number, ({_DAY})::VARCHAR AS po_date FROM newest",
+    "history_store": """SELECT request_id, arg_min(created_at, o) AS created_at, arg_max(extraction_id, o) AS extraction_id, arg_max(validation_status, o) AS validation_status,
+        arg_max(attempts, o) AS attempts, arg_max(page_count, o) AS page_count FROM (SELECT *, row_number() OVER (ORDER BY ingested_at, extraction_id) AS o FROM extractions) GROUP BY 1""",
+    "case_scores": f"""WITH {_SCORED}, {_NEWEST},
+        c AS (SELECT extraction_id, {_NUMBER} AS n FROM newest WHERE extraction_id IN (SELECT extraction_id FROM e)),
+        f AS (SELECT extraction_id, CASE WHEN extraction_id % 7 <> 0 THEN true ELSE n IS NULL END AS ok FROM c UNION ALL SELECT extraction_id, true FROM c
+            UNION ALL SELECT extraction_id, unnest([paired, paired AND c, paired AND q, paired AND u]) FROM p),
+        m AS (SELECT extraction_id, string_agg(toto_number, '|' ORDER BY toto_number) AS missed FROM p WHERE NOT paired GROUP BY 1),
+        t AS (SELECT extraction_id, count(*) AS total_fields, count(*) FILTER (WHERE ok) AS correct_fields FROM f GROUP BY 1)
+        SELECT extraction_id, total_fields, correct_fields, correct_fields / total_fields AS accuracy, missed IS NULL AND correct_fields = total_fields AS is_exact,
+            coalesce(missed, '') AS missed_items, '' AS spurious_items, total_fields - correct_fields AS wrong_fields FROM t LEFT JOIN m USING (extraction_id)""",
     "score_items_missed": f"WITH {_SCORED} SELECT extraction_id, toto_number, count(*) AS missed FROM p WHERE NOT paired GROUP BY 1, 2",
     "accuracy_by_field": f"WITH {_SCORED} SELECT field, count(*) FILTER (WHERE ok) AS correct, count(*) AS total, count(*) FILTER (WHERE ok) / count(*) AS accuracy FROM r GROUP BY 1",
     "eval_totals": f"WITH {_SCORED} SELECT count(*) AS total_fields, count(*) FILTER (WHERE ok) AS correct_fields, count(*) FILTER (WHERE ok) / count(*) AS accuracy FROM r",
