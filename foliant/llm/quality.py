@@ -5,8 +5,9 @@ common words of its language. For each language, mean and covariance of prose ar
 quartiles first, then twice from the three quarters of the documents that lie nearest. The squared Mahalanobis distance
 of a text splits into one contribution per statistic. Residuals are shrunk by what sampling explains in a short text.
 
-The verdict uses the adverse distance, for which residuals on prose's better side (more common words, fewer symbols,
-more punctuation) and the word count are no deviation.
+The distance is over all statistics. A residual on prose's better side (more common words, fewer symbols, more
+punctuation) is no deviation, and the word count, which may be any in prose, has a wide least deviation. The verdict is
+that of this distance against a quantile of the chi-square distribution, and the contributions reported are its own.
 
 Defined results: null and empty texts, and texts of white space only, have no row; a text without words has mean word
 length and share of common words 0; a language with too few texts to estimate from gets the floor of each deviation.
@@ -29,12 +30,12 @@ COMMON = {
 }
 STATS = ("log_words", "mean_word_length", "symbol_ratio", "punctuation_share", "common_share")
 #: Least deviation of each statistic between prose documents; variance within a document of one word (of one
-#: character for symbol_ratio); side of each statistic that counts against prose (0: both, None: neither).
-FLOOR = (0.3, 0.2, 0.01, 0.1, 0.03)
+#: character for symbol_ratio); side of each statistic that counts against prose (0: both).
+FLOOR = (3.0, 0.2, 0.01, 0.1, 0.03)
 WITHIN = (0.0, 6.0, 0.5, 1.0, 0.24)
-ADVERSE = (None, 0, 1, -1, -1)
-#: Adverse squared distance from which a text is no prose.
-CUTOFF = 13.0
+ADVERSE = (0, 0, 1, -1, -1)
+#: Squared distance from which a text is no prose: the 98 % quantile of chi-square with a degree for each statistic.
+CUTOFF = 13.388
 ENDS_OF_LINE = ".!?;:,…”»\""
 
 
@@ -78,24 +79,19 @@ def _by_language(values: dict[str, float]) -> Column:
 
 
 def _distance(models: dict[str, tuple[np.ndarray, np.ndarray]], adverse: bool) -> list[Column]:
-    """The contribution of each statistic; they add up to the squared distance."""
+    """The contribution of each statistic; they add up to the squared distance. Fitting counts both sides of each."""
     sizes = (F.lit(1.0), F.col("word_count"), F.col("char_count"), F.col("word_count"), F.col("word_count"))
     residuals = []
     for j, name in enumerate(STATS):
         r = F.col(name) - _by_language({k: mean[j] for k, (mean, _) in models.items()})
         if adverse:
-            r = {None: F.lit(0.0), 0: r, 1: F.greatest(r, F.lit(0.0)), -1: F.least(r, F.lit(0.0))}[ADVERSE[j]]
+            r = {0: r, 1: F.greatest(r, F.lit(0.0)), -1: F.least(r, F.lit(0.0))}[ADVERSE[j]]
         if WITHIN[j]:
             variance = _by_language({k: cov[j, j] for k, (_, cov) in models.items()})
             r = r * F.sqrt(variance / (variance + F.lit(WITHIN[j]) / F.greatest(sizes[j], F.lit(1))))
         residuals.append(r)
-    used = [j for j in range(len(STATS)) if not (adverse and ADVERSE[j] is None)]
-    inverses = {k: np.linalg.inv(cov[np.ix_(used, used)]) for k, (_, cov) in models.items()}
-    parts = [F.lit(0.0)] * len(STATS)
-    for a, j in enumerate(used):
-        row = sum((residuals[i] * _by_language({k: inv[a, b] for k, inv in inverses.items()}) for b, i in enumerate(used)), F.lit(0.0))
-        parts[j] = residuals[j] * row
-    return parts
+    inverses = {k: np.linalg.inv(cov) for k, (_, cov) in models.items()}
+    return [residuals[j] * sum((residuals[i] * _by_language({k: inv[j, i] for k, inv in inverses.items()}) for i in range(len(STATS))), F.lit(0.0)) for j in range(len(STATS))]
 
 
 def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
@@ -120,13 +116,9 @@ def fit(stats: DataFrame) -> dict[str, tuple[np.ndarray, np.ndarray]]:
 
 
 def judge(docs: DataFrame, id_col: str, text: str, lang: str) -> DataFrame:
-    """The statistics of each text with ``distance``, its split into ``contribution_*``, ``adverse_distance`` and
-    ``is_prose``."""
+    """The statistics of each text with ``distance``, its split into ``contribution_*``, and ``is_prose``."""
     stats = cut(statistics(docs, id_col, text, lang))
-    models = fit(stats)
-    parts = _distance(models, adverse=False)
-    adverse = sum(_distance(models, adverse=True), F.lit(0.0))
-    return stats.select(
-        "*", sum(parts, F.lit(0.0)).alias("distance"), *[p.alias(f"contribution_{s}") for s, p in zip(STATS, parts)],
-        adverse.alias("adverse_distance"), (adverse <= CUTOFF).alias("is_prose"),
-    )
+    parts = _distance(fit(stats), adverse=True)
+    named = [p.alias(f"contribution_{s}") for s, p in zip(STATS, parts)]
+    judged = stats.select("*", *named).withColumn("distance", sum((F.col(f"contribution_{s}") for s in STATS), F.lit(0.0)))
+    return judged.withColumn("is_prose", F.col("distance") <= CUTOFF)
