@@ -4,17 +4,19 @@ Every object and array of a record becomes a node. Nodes are hashed bottom-up ov
 normalised numbers, children by their hash), so equal subtrees have equal identities wherever they occur. The
 ``objects`` table stores each identity once; the ``bridge`` rows keep every occurrence with its parent and ordinals.
 
-Defined results: a null document has no nodes; a text that is no JSON (or is nested deeper than the JSON parser
-goes) is one ``text`` node; null elements are no nodes but keep their ordinal; repeated keys are all kept; a string
+Defined results: a null document has no nodes; a text that is no JSON is one ``text`` node; any depth is entered; null elements are no nodes but keep their ordinal; repeated keys are all kept; a string
 that itself holds a JSON object or array is entered as that object or array.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from decimal import Decimal, InvalidOperation
 from hashlib import blake2b
+from json.decoder import scanstring
+from json.scanner import NUMBER_RE
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -45,7 +47,71 @@ def _number(raw: str) -> _Number:
 
 
 def _parse(text: str):
-    return json.loads(text, object_pairs_hook=_Pairs, parse_int=_number, parse_float=_number)
+    try:
+        return json.loads(text, object_pairs_hook=_Pairs, parse_int=_number, parse_float=_number)
+    except RecursionError:
+        return _parse_deep(text)
+
+
+_BLANKS = re.compile(r"[ \t\n\r]*")
+_PLAIN = {"true": True, "false": False, "null": None, "NaN": float("nan"), "Infinity": float("inf"), "-Infinity": float("-inf")}
+
+
+def _parse_deep(text: str):
+    """What ``_parse`` gives, with the open objects and arrays in a list instead of on the call stack: for any depth."""
+
+    def skip(at: int) -> int:
+        return _BLANKS.match(text, at).end()
+
+    def scalar(at: int) -> tuple:
+        if text[at : at + 1] == '"':
+            return scanstring(text, at + 1, True)
+        for name, value in _PLAIN.items():
+            if text.startswith(name, at):
+                return value, at + len(name)
+        number = NUMBER_RE.match(text, at)
+        if number is None:
+            raise ValueError(f"no JSON value at {at}")
+        return _number(number.group()), number.end()
+
+    def key(at: int) -> tuple[str, int]:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no key at {at}")
+        name, at = scanstring(text, at + 1, True)
+        at = skip(at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no colon at {at}")
+        return name, skip(at + 1)
+
+    held: list[tuple[list, str | None]] = []
+    at = skip(0)
+    while True:
+        if text[at : at + 1] in ("{", "["):
+            is_object = text[at] == "{"
+            value, at = _Pairs() if is_object else [], skip(at + 1)
+            if text[at : at + 1] != ("}" if is_object else "]"):
+                name, at = key(at) if is_object else (None, at)
+                held.append((value, name))
+                continue
+            at += 1
+        else:
+            value, at = scalar(at)
+        while True:  # a value has ended: what holds it goes on or ends too
+            at = skip(at)
+            if not held:
+                if at < len(text):
+                    raise ValueError(f"more than one JSON value at {at}")
+                return value
+            holder, name = held.pop()
+            is_object = isinstance(holder, _Pairs)
+            holder.append((name, value) if is_object else value)
+            if text[at : at + 1] == ",":
+                name, at = key(skip(at + 1)) if is_object else (None, skip(at + 1))
+                held.append((holder, name))
+                break
+            if text[at : at + 1] != ("}" if is_object else "]"):
+                raise ValueError(f"neither comma nor end at {at}")
+            value, at = holder, at + 1
 
 
 def _embedded(text: str):
@@ -55,7 +121,7 @@ def _embedded(text: str):
             return None
         try:
             text = _parse(text.strip("\ufeff \t\r\n"))
-        except (ValueError, RecursionError):
+        except ValueError:
             return None
     return text if isinstance(text, list) else None
 
@@ -65,7 +131,7 @@ def nodes_of(text: str, item_key: str | None = None) -> list[list]:
     item_no, outer_item, identity, body]. The item number of a node that is no item is -1."""
     try:
         root = _parse(text)
-    except (ValueError, RecursionError):
+    except ValueError:
         root = text
     encoded = False
     if isinstance(root, str) and not isinstance(root, _Number) and (inner := _embedded(root)) is not None:
