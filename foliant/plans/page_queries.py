@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import legacy, text
-from foliant.operators import layout
+from foliant.operators import layout, payloads
 from foliant.tables import table
 
 
@@ -100,10 +100,35 @@ def affine_points(spark: SparkSession, root: str) -> DataFrame:
     return moved.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("corner").cast("bigint").alias("corner"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")).distinct()
 
 
+def _payloads(spark: SparkSession, root: str) -> DataFrame:
+    """The stored pages as an engine would send them: boxes with their points and lists of cells, as JSON."""
+    box = F.transform("blocks", lambda b: F.when(b.isNotNull(), F.struct(b["block_type"].alias("label"), b["content"].alias("text"), b["confidence"].alias("score"), F.transform(b["bbox"], lambda p: F.array(p["x"], p["y"])).alias("coordinate"))))
+    cell = lambda c: F.struct(c["row_idx"].alias("row"), c["col_idx"].alias("col"), c["rowspan"].alias("rowspan"), c["colspan"].alias("colspan"), c["text"].alias("text"))
+    tables = F.transform("page_tables", lambda t: F.when(t.isNotNull(), F.struct(t["confidence"].alias("score"), F.transform(t["cells"], lambda c: F.when(c.isNotNull(), cell(c))).alias("cells"))))
+    pages = table(spark, root, "ocr_pages").drop("ingested_at").dropDuplicates(["page_id"])
+    return payloads.normalize(pages.select("page_id", F.to_json(F.struct("page_index", F.col("confidence").alias("score"), box.alias("boxes"), tables.alias("tables"))).alias("payload")), "page_id", "payload")
+
+
+def payload_blocks(spark: SparkSession, root: str) -> DataFrame:
+    blocks = payloads.blocks_of(_payloads(spark, root))
+    return blocks.select(F.col("payload_id").cast("bigint").alias("page_id"), "page_index", F.col("pos").cast("bigint").alias("pos"), "block_type", "content", F.size("polygon").cast("bigint").alias("points"), "confidence")
+
+
+def payload_cells(spark: SparkSession, root: str) -> DataFrame:
+    cells = payloads.cells_of(payloads.tables_of(_payloads(spark, root)))
+    return cells.select(F.col("payload_id").cast("bigint").alias("page_id"), F.col("table_no").cast("bigint").alias("table_no"), F.col("cell_no").cast("bigint").alias("cell_no"), "row", "col", "rowspan", "colspan", "text")
+
+
+def payload_confidence(spark: SparkSession, root: str) -> DataFrame:
+    pages = _payloads(spark, root)
+    found = payloads.confidences(pages, payloads.blocks_of(pages), payloads.tables_of(pages))
+    return found.select(F.col("payload_id").cast("bigint").alias("page_id"), F.round("confidence", 9).alias("confidence"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        useful_chars, readable_ratio, text_usable, tcvn3_repair, clean_text, compact_markdown, tables_only, pipe_table_render, label_to_type, file_routes,
+        useful_chars, readable_ratio, text_usable, tcvn3_repair, clean_text, compact_markdown, payload_blocks, payload_cells, payload_confidence, tables_only, pipe_table_render, label_to_type, file_routes,
         artifact_names, page_confidence, reading_order, word_lines, line_segments, affine_points,
     )
 }
@@ -115,7 +140,22 @@ _USEFUL = f"length(regexp_replace(text, '{_WS}+', '', 'g'))"
 _CORRUPT = rf"list_filter({_TOKENS}, lambda w: len(regexp_extract_all(w, '\p{{Nd}}')) >= 1 AND len(regexp_extract_all(w, '\p{{Nd}}')) < len(regexp_extract_all(w, '\p{{L}}')))"
 _SUFFIX = r"regexp_extract(lower(source_filename), '\.([^./\\]+)$', 1)"
 
+_PAGES = "p AS (SELECT DISTINCT ON (page_id) * FROM ocr_pages)"
+_BOXES = "b AS (SELECT page_id, page_index, unnest(list_filter(blocks, lambda x: x IS NOT NULL)) AS b, generate_subscripts(list_filter(blocks, lambda x: x IS NOT NULL), 1) - 1 AS pos FROM p)"
+_TABLES = "t AS (SELECT page_id, unnest(list_filter(page_tables, lambda x: x IS NOT NULL)) AS t, generate_subscripts(list_filter(page_tables, lambda x: x IS NOT NULL), 1) - 1 AS table_no FROM p)"
+
 SQL = {
+    "payload_blocks": f"""WITH {_PAGES}, {_BOXES}
+        SELECT page_id, coalesce(page_index, 0)::INTEGER AS page_index, pos::BIGINT AS pos, CASE WHEN b.block_type IN ('table', 'formula', 'chart', 'seal', 'title', 'text') THEN b.block_type ELSE 'other' END AS block_type,
+            trim(coalesce(b.content, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8199) || chr(8239) || chr(12288) || chr(8195) || chr(8201) || chr(8202)) AS content,
+            len(coalesce(list_filter(b.bbox, lambda x: x IS NOT NULL), [])) AS points, coalesce(b.confidence, 0) AS confidence FROM b""",
+    "payload_cells": f"""WITH {_PAGES}, {_TABLES},
+        c AS (SELECT page_id, table_no, unnest(list_filter(t.cells, lambda x: x IS NOT NULL)) AS c, generate_subscripts(list_filter(t.cells, lambda x: x IS NOT NULL), 1) - 1 AS cell_no FROM t)
+        SELECT page_id, table_no, cell_no, coalesce(c.row_idx, 0) AS row, coalesce(c.col_idx, 0) AS col, coalesce(c.rowspan, 1) AS rowspan, coalesce(c.colspan, 1) AS colspan, coalesce(c.text, '') AS text FROM c""",
+    "payload_confidence": f"""WITH {_PAGES}, {_BOXES},
+        m AS (SELECT page_id, avg(b.confidence) FILTER (WHERE b.confidence > 0) AS mean, avg((trim(coalesce(b.content, '')) <> '')::INTEGER) AS share FROM b GROUP BY 1)
+        SELECT page_id, round(coalesce(nullif(confidence, 0), mean, CASE WHEN share > 0 THEN least(0.9, 0.55 + 0.35 * share + CASE WHEN len(list_filter(page_tables, lambda x: x IS NOT NULL)) > 0 THEN 0.05 ELSE 0 END) END, 0), 9) AS confidence
+        FROM p LEFT JOIN m USING (page_id)""",
     "compact_markdown": r"""
         WITH t AS (SELECT DISTINCT extraction_id, markdown AS m,
             list_filter(list_transform(regexp_split_to_array(markdown, '\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]'),

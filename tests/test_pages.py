@@ -71,18 +71,44 @@ def test_segments_and_table(spark):
     assert {(r.row, r.col, r.text) for r in layout.table_cells(segs, ["page"], "line").collect()} == {(r, c, f"{r}{c}") for r in range(3) for c in range(3)}
 
 
-def test_html_cells():
-    table = "<table><tr><td rowspan=2>a</td><td colspan='2'>b &amp; c</td></tr><tr><td>d</td><td> e\n f </td></tr></table>"
-    assert payloads.html_cells(table) == [(0, 0, 2, 1, "a"), (0, 1, 1, 2, "b & c"), (1, 1, 1, 1, "d"), (1, 2, 1, 1, "e f")]
+def cells(spark, *tables):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(tables)], "i int, t string")
+    return [[tuple(c) for c in r.c] if r.c is not None else None for r in df.select("i", payloads.html_cells(F.col("t")).alias("c")).orderBy("i").collect()]
+
+
+def test_html_cells(spark):
+    spans = "<table><tr><td rowspan=2>a</td><td colspan='2'>b &amp; c</td></tr><tr><td>d</td><td> e\n f </td></tr></table>"
+    odd = "<TABLE><tr><TH RowSpan='3'>1</TH><td>2</td><td rowspan=2>&#x41;&#66;&lt;</td></tr><tr><td colspan=0>4</td></tr><tr><td>5</td><td>6</td><td>7</td></tr></TABLE>"
+    assert cells(spark, spans, odd, "", None, "<tr></tr>") == [
+        [(0, 0, 2, 1, "a"), (0, 1, 1, 2, "b & c"), (1, 1, 1, 1, "d"), (1, 2, 1, 1, "e f")],
+        [(0, 0, 3, 1, "1"), (0, 1, 1, 1, "2"), (0, 2, 2, 1, "AB<"), (1, 1, 1, 1, "4"), (2, 1, 1, 1, "5"), (2, 2, 1, 1, "6"), (2, 3, 1, 1, "7")],
+        [], None, [],
+    ]
+
+
+PAYLOADS = {
+    "a": {"res": {"page_index": "nan", "parsing_res_list": [{"block_label": "Doc_Title", "block_content": " T ", "block_bbox": [0, 0, 2, 1], "id": "x1", "order": "2"}, {"label": None, "content": "q"}, {"block_label": "table", "block_content": "<table><tr><td>1</td></tr></table>"}]}},
+    "d": [{"text": "x"}, {"text": " "}],
+    "e": {"pages": [{"res": {"page_index": 3.7, "boxes": [{"label": "Text", "text": " y ", "score": "0.5", "coordinate": [[1, 2], [3, "4"]]}, 7], "tables": [], "table_res_list": [{"cells": [{"row": 1, "col": "2", "text": "z"}]}, {"html": "<b>w</b>"}]}}, 5]},
+    "f": {"pages": []},
+    "g": {"markdown": {"text": "m <table><tr><th>1</th></tr></table>"}, "res": {"page_index": 1}},
+}
 
 
 def test_payloads(spark):
-    payload = {"res": {"page_index": 3, "parsing_res_list": [{"block_label": "Doc_Title", "block_content": "T", "block_bbox": [0, 0, 2, 1]}, {"block_label": "table", "block_content": "<table><tr><td>1</td></tr></table>"}]}}
-    df = spark.createDataFrame([("a", json.dumps(payload)), ("b", "no json"), ("c", None), ("d", '[{"text": "x"}, {"text": " "}]')], "id string, p string")
-    pages = payloads.normalize(df, "id", "p")
-    assert {(r.payload_id, r.page_index) for r in pages.collect()} == {("a", 3), ("d", 0), ("d", 1)}
-    blocks = payloads.blocks_of(pages).orderBy("payload_id", "pos").collect()
-    assert [(b.block_type, len(b.polygon)) for b in blocks] == [("title", 4), ("table", 0), ("text", 0)] and all(len(b.block_id) == 8 for b in blocks)
+    rows = [(k, json.dumps(v)) for k, v in PAYLOADS.items()] + [("b", "no json"), ("c", None)]
+    pages = payloads.normalize(spark.createDataFrame(rows, "id string, p string"), "id", "p")
+    assert {(r.payload_id, r.page_index) for r in pages.collect()} == {("a", 0), ("d", 0), ("d", 1), ("e", 3), ("g", 1)}
+    blocks, tables = payloads.blocks_of(pages), payloads.tables_of(pages)
+    found = [(b.payload_id, b.block_type, b.content, len(b.polygon), b.block_order) for b in blocks.orderBy("payload_id", "page_no", "pos").collect()]
+    assert found == [("a", "title", "T", 4, 2), ("a", "other", "q", 0, None), ("a", "table", "<table><tr><td>1</td></tr></table>", 0, None), ("d", "text", "x", 0, None), ("d", "text", " ", 0, None), ("e", "text", "y", 2, None)]
+    ids = [b.block_id for b in blocks.collect()]
+    assert "x1" in ids and len(set(ids)) == len(ids) and sorted(b.block_id for b in payloads.blocks_of(pages).collect()) == sorted(ids)
+    got = {(c.payload_id, c.table_no, c.row, c.col, c.text) for c in payloads.cells_of(tables).collect()}
+    assert got == {("a", 0, 0, 0, "1"), ("e", 0, 1, 2, "z"), ("e", 1, 0, 0, "w"), ("g", 0, 0, 0, "1")}
+    scores = {(r.payload_id, r.page_no): r.confidence for r in payloads.confidences(pages, blocks, tables).collect()}
+    assert scores == {("a", 0): 0.9, ("d", 0): 0.9, ("d", 1): 0.0, ("e", 0): 0.5, ("g", 0): 0.0}
+    assert payloads.normalize(spark.createDataFrame([], "id string, p string"), "id", "p").count() == 0
 
 
 def _zip(**files):
