@@ -40,8 +40,8 @@ def readable_ratio(c: Column) -> Column:
 def word_counts(c: Column) -> tuple[Column, Column]:
     """(words of two letters or more, those of them with fewer digits than letters but at least one)."""
     words = F.split(F.trim(c), rf"{BLANK}+")
-    considered = F.filter(words, lambda w: F.regexp_count(w, F.lit(r"\p{L}")) >= 2)
-    corrupt = F.filter(considered, lambda w: (F.regexp_count(w, F.lit(r"\p{Nd}")) >= 1) & (F.regexp_count(w, F.lit(r"\p{Nd}")) < F.regexp_count(w, F.lit(r"\p{L}"))))
+    considered = F.filter(words, lambda w: w.rlike(r"\p{L}\P{L}*\p{L}"))
+    corrupt = F.filter(considered, lambda w: w.rlike(r"\p{Nd}") & (F.regexp_count(w, F.lit(r"\p{Nd}")) < F.regexp_count(w, F.lit(r"\p{L}"))))
     return F.size(considered), F.size(corrupt)
 
 
@@ -97,11 +97,19 @@ def route(path: Column) -> Column:
     return F.when(s.isin("doc", "docx"), "word").when(s.isin("xls", "xlsx", "xlsm"), "excel").when(s == "pdf", "pdf_text").when(s.isin(*SUFFIXES), "ocr")
 
 
+def _raw_stem(name: Column) -> Column:
+    return F.regexp_replace(F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1), r"(?<=.)\.[^.]*$", "")
+
+
 def artifact_stem(name: Column) -> Column:
-    """A file name for an upload's results; a hash tells apart names that had to be changed."""
-    raw = F.regexp_replace(F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1), r"(?<=.)\.[^.]*$", "")
-    safe = F.regexp_replace(F.regexp_replace(raw, r'[<>:"/\\|?*\x00-\x1f]', ""), r"^[ .]+|[ .]+$", "")
-    safe = F.when(safe == "", "document").otherwise(safe)
+    """A file name for the results of an upload: its own without its suffix and what file systems refuse."""
+    safe = F.regexp_replace(F.regexp_replace(_raw_stem(name), r'[<>:"/\\|?*\x00-\x1f]', ""), r"^[ .]+|[ .]+$", "")
+    return F.when(safe == "", "document").otherwise(safe)
+
+
+def artifact_folder(name: Column) -> Column:
+    """The folder of an upload's results; a hash tells apart names that had to be changed."""
+    raw, safe = _raw_stem(name), artifact_stem(name)
     return F.when(safe == raw, safe).otherwise(F.concat(safe, F.lit("-"), F.sha2(raw, 256)))
 
 

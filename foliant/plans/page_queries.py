@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import legacy, text
-from foliant.operators import layout, payloads
+from foliant.operators import layout, payloads, textlayer
 from foliant.tables import table
 
 
@@ -61,7 +61,7 @@ def file_routes(spark: SparkSession, root: str) -> DataFrame:
 
 
 def artifact_names(spark: SparkSession, root: str) -> DataFrame:
-    return table(spark, root, "extractions").select("extraction_id", text.artifact_stem(F.col("source_filename")).alias("stem")).distinct()
+    return table(spark, root, "extractions").select("extraction_id", text.artifact_folder(F.col("source_filename")).alias("stem")).distinct()
 
 
 def page_confidence(spark: SparkSession, root: str) -> DataFrame:
@@ -100,6 +100,13 @@ def affine_points(spark: SparkSession, root: str) -> DataFrame:
     return moved.select("page_id", F.col("pos").cast("bigint").alias("pos"), F.col("corner").cast("bigint").alias("corner"), F.round("p.x", 6).alias("x"), F.round("p.y", 6).alias("y")).distinct()
 
 
+def text_layer_usable(spark: SparkSession, root: str) -> DataFrame:
+    """The gate over the stored pages of each request."""
+    pages = table(spark, root, "ocr_pages").drop("ingested_at").dropDuplicates(["page_id"]).select("request_id", "page_index", textlayer.page_text("blocks").alias("text"))
+    judged = textlayer.judge(pages, "request_id", "page_index", "text")
+    return judged.select("request_id", F.col("pages").cast("bigint").alias("pages"), F.col("chars").cast("bigint").alias("chars"), F.sha2("text", 256).alias("digest"), "usable")
+
+
 def _payloads(spark: SparkSession, root: str) -> DataFrame:
     """The stored pages as an engine would send them: boxes with their points and lists of cells, as JSON."""
     box = F.transform("blocks", lambda b: F.when(b.isNotNull(), F.struct(b["block_type"].alias("label"), b["content"].alias("text"), b["confidence"].alias("score"), F.transform(b["bbox"], lambda p: F.array(p["x"], p["y"])).alias("coordinate"))))
@@ -128,7 +135,7 @@ def payload_confidence(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        useful_chars, readable_ratio, text_usable, tcvn3_repair, clean_text, compact_markdown, payload_blocks, payload_cells, payload_confidence, tables_only, pipe_table_render, label_to_type, file_routes,
+        useful_chars, readable_ratio, text_usable, text_layer_usable, tcvn3_repair, clean_text, compact_markdown, payload_blocks, payload_cells, payload_confidence, tables_only, pipe_table_render, label_to_type, file_routes,
         artifact_names, page_confidence, reading_order, word_lines, line_segments, affine_points,
     )
 }
@@ -144,7 +151,19 @@ _PAGES = "p AS (SELECT DISTINCT ON (page_id) * FROM ocr_pages)"
 _BOXES = "b AS (SELECT page_id, page_index, unnest(list_filter(blocks, lambda x: x IS NOT NULL)) AS b, generate_subscripts(list_filter(blocks, lambda x: x IS NOT NULL), 1) - 1 AS pos FROM p)"
 _TABLES = "t AS (SELECT page_id, unnest(list_filter(page_tables, lambda x: x IS NOT NULL)) AS t, generate_subscripts(list_filter(page_tables, lambda x: x IS NOT NULL), 1) - 1 AS table_no FROM p)"
 
+_LAYER = f"""d AS (SELECT request_id, count(*) AS pages, sum({_USEFUL}) AS chars, min({_USEFUL}) AS least, string_agg(text, '' ORDER BY page_index NULLS FIRST, text) AS text
+        FROM (SELECT request_id, page_index, coalesce(array_to_string(list_filter(list_transform(blocks, lambda b: b.content), lambda c: c <> ''), chr(10)), '') AS text FROM p) GROUP BY 1)"""
+
 SQL = {
+    "text_layer_usable": f"""WITH p AS (SELECT DISTINCT ON (page_id) * FROM ocr_pages), {_LAYER},
+        w AS (SELECT *, {_TOKENS} AS words FROM d),
+        c AS (SELECT *, len(words) AS considered, len(list_filter(words, lambda w: len(regexp_extract_all(w, '\\p{{Nd}}')) >= 1 AND len(regexp_extract_all(w, '\\p{{Nd}}')) < len(regexp_extract_all(w, '\\p{{L}}')))) AS corrupt FROM w)
+        SELECT request_id, pages, chars::BIGINT AS chars, sha256(text) AS digest,
+            chars >= 80 AND least >= 40 AND {_READABLE} / {_USEFUL} >= 0.7 AND (considered < 20 OR corrupt <= 0.07 * considered) AS usable FROM c""",
+    "tables_only": r"""SELECT DISTINCT extraction_id, array_to_string(list_filter(regexp_extract_all(replace(markdown, chr(13) || chr(10), chr(10)),
+            '(?ims)<table\b[^>]*>.*?</table>|^[ \t]*\|[^\n]*\|[ \t]*(?:\n[ \t]*\|[^\n]*\|[ \t]*){2,}'),
+            lambda t: regexp_matches(t, '(?i)^<table') OR regexp_matches(t, '(?m)^[ \t]*\|[ \t:|-]*-[ \t:|-]*\|[ \t]*$')), chr(10) || chr(10)) AS tables
+        FROM extractions WHERE tables <> ''""".replace("\\\\", "\\"),
     "payload_blocks": f"""WITH {_PAGES}, {_BOXES}
         SELECT page_id, coalesce(page_index, 0)::INTEGER AS page_index, pos::BIGINT AS pos, CASE WHEN b.block_type IN ('table', 'formula', 'chart', 'seal', 'title', 'text') THEN b.block_type ELSE 'other' END AS block_type,
             trim(coalesce(b.content, ''), chr(32) || chr(9) || chr(10) || chr(13) || chr(160) || chr(8199) || chr(8239) || chr(12288) || chr(8195) || chr(8201) || chr(8202)) AS content,
