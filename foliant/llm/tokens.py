@@ -128,5 +128,6 @@ def decode(tokens: DataFrame, id_col: str, ids: str, path: str = TOKENIZER_PATH)
     vocabulary = ranks(tokens.sparkSession, path)
     held = vocabulary.agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("v"))
     held = held_literal(held.select(F.transform("v", lambda e: e["token"]).alias("held")))
-    joined = F.aggregate(F.col(ids), F.lit("").cast("binary"), lambda acc, i: F.concat(acc, F.get(held, i.cast("int"))))
+    pieces = F.transform(ids, lambda i: F.hex(F.get(held, i.cast("int"))))  # joined at once: appending would copy the text for each piece
+    joined = F.when(~F.exists(pieces, lambda p: p.isNull()), F.unhex(F.array_join(pieces, "")))
     return tokens.select(id_col, F.decode(joined, "UTF-8").alias("text"))

@@ -14,6 +14,12 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return encoded.select("doc_id", F.transform("ids", lambda i: i.cast("bigint")).alias("ids"))
 
 
-QUERIES = {"p6_ids": p6_ids}
+def p6_round_trip(spark: SparkSession, root: str) -> DataFrame:
+    """The digest of each text as its ids give it back; a null text comes back empty."""
+    encoded = tokens.encode(table(spark, root, "documents"), "doc_id", "text")
+    return tokens.decode(encoded, "doc_id", "ids").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+QUERIES = {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip}
 
-SQL: dict[str, str] = {}
+SQL = {"p6_round_trip": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents"}
