@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding of a corpus with a public vocabulary, in Spark expressions.
 
 A text is cut into words (a run of non-spaces with the space before it, or white space), a word into the tokenizer's
-pre-tokens, and a pre-token's bytes are folded by ranked merges: each step merges all pairs of the lowest rank, looked
-up in the rank map, until no pair has a rank. Merging all pairs of one rank at once equals merging them one by one,
-because a merge only makes pairs of higher ranks.
+pre-tokens, and a pre-token's bytes are folded by ranked merges: each step merges the first pair of the lowest rank and
+looks up the ranks of the two pairs that it makes, until no pair has a rank.
 
 The fold runs once for each distinct word that many documents share: the ``hot_words`` most widespread words of the
 corpus are encoded first and held as one value; its size is bounded by ``hot_words`` times ``HOT_BYTES``. Any other
@@ -76,29 +75,32 @@ def fold(pretoken: Column, held_ranks: Column) -> Column:
     def rank_of(token: Column) -> Column:
         return look_up(held_ranks, token, RANK_BUCKETS)
 
-    def with_target(parts: Column) -> Column:
-        """The pieces with the pair of the lowest rank, null if no pair has one."""
-        pairs = F.zip_with(F.slice(parts, 1, F.size(parts) - 1), F.slice(parts, 2, F.size(parts)), lambda a, b: F.concat(a, b))
-        found = F.transform(F.array(pairs), lambda ps: F.struct(ps.alias("pairs"), F.transform(ps, rank_of).alias("ranks")))[0]
-        target = F.transform(F.array(found), lambda f: F.get(f["pairs"], F.array_position(f["ranks"], F.array_min(f["ranks"])).cast("int") - 1))[0]
-        return F.struct(parts.alias("parts"), F.when(F.size(parts) > 1, target).alias("target"))
-
-    def merged(parts: Column, target: Column) -> Column:
-        return F.aggregate(
-            parts,
-            F.array().cast("array<binary>"),
-            lambda done, part: F.when(
-                F.concat(F.try_element_at(done, F.lit(-1)), part) == target,
-                F.concat(F.slice(done, 1, F.size(done) - 1), F.array(target)),
-            ).otherwise(F.concat(done, F.array(part))),
-        )
+    def merged(state: Column, at: Column) -> Column:
+        """The pair at ``at`` made one piece; only the ranks of the pairs on its two sides are looked up anew."""
+        parts, ranked = state["parts"], state["ranks"]
+
+        def with_piece(piece: Column) -> Column:
+            none = F.array().cast("array<int>")
+            before = F.when(at > 1, F.array(rank_of(F.concat(F.get(parts, at - 2), piece)))).otherwise(none)
+            after = F.when(at < F.size(ranked), F.array(rank_of(F.concat(piece, F.get(parts, at + 1))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                F.concat(F.slice(ranked, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranked, at + 2, F.size(parts))).alias("ranks"),
+            )
+
+        return F.transform(F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), with_piece)[0]
 
     def step(state: Column, _: Column) -> Column:
-        following = F.transform(F.array(merged(state["parts"], state["target"])), with_target)[0]
-        return F.when(state["target"].isNull(), state).otherwise(following)
+        least = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
+        return F.transform(F.array(least), lambda at: F.when(at.isNull(), state).otherwise(merged(state, at)))[0]
+
+    def start(parts: Column) -> Column:
+        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: rank_of(F.concat(a, b)))
+        return F.struct(parts.alias("parts"), pairs.alias("ranks"))
 
-    start = F.transform(F.array(pieces), with_target)[0]
-    folded = F.aggregate(F.sequence(F.lit(1), F.octet_length(octets)), start, step, lambda state: F.transform(state["parts"], rank_of))
+    begun = F.transform(F.array(pieces), start)[0]
+    most = F.greatest(F.octet_length(octets) - 1, F.lit(1))  # each step makes one piece of two
+    folded = F.aggregate(F.sequence(F.lit(1), most), begun, step, lambda state: F.transform(state["parts"], rank_of))
     whole = rank_of(octets)
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
 
@@ -111,7 +113,7 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
 
 
-def encode(docs: DataFrame, id_col: str, text: str, hot_words: int = 65_536, path: str = TOKENIZER_PATH) -> DataFrame:
+def encode(docs: DataFrame, id_col: str, text: str, hot_words: int = 131_072, path: str = TOKENIZER_PATH) -> DataFrame:
     """(id_col, ids): the ids of each row's text, without special tokens."""
     held_ranks = bucketed_map(ranks(docs.sparkSession, path), "token", "rank", RANK_BUCKETS)
     spread = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
