@@ -217,7 +217,8 @@ def garbled_words(words: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["word", "n", "how", "restored", "core"])
 
     # Few bytes but much work: spread over all cores before, and written once, as four branches read it.
-    spread = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, "word")
+    # By another hash than that of the count, else its few partitions would do.
+    spread = words.repartition(words.sparkSession.sparkContext.defaultParallelism * 2, F.xxhash64("word"))
     read_words = cut(spread.mapInPandas(read, "word string, n bigint, how string, restored string, core string"))
     sure = read_words.where("how in ('structure', 'lost')").select("word", "restored")
     frequent = read_words.where("how = 'self'").groupBy("core").agg(F.sum("n").alias("frequency"))
