@@ -11,7 +11,7 @@ from foliant.tables import table
 
 def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     encoded = tokens.encode(table(spark, root, "documents"), "doc_id", "text")
-    return encoded.select("doc_id", F.transform("ids", lambda i: i.cast("bigint")).alias("ids"))
+    return encoded.select("doc_id", F.col("ids").cast("array<bigint>").alias("ids"))
 
 
 def p6_round_trip(spark: SparkSession, root: str) -> DataFrame:
