@@ -23,8 +23,8 @@ def test_clean_text(spark, raw, clean):
 
 def test_text_scalars(spark):
     assert one(spark, text.ustrip(F.col("t")), t="\u2003 x y\x1c") == "x y"
-    assert one(spark, text.artifact_stem(F.col("t")), t="C:\\in\\a b.pdf") == "a b"
-    assert one(spark, text.artifact_stem(F.col("t")), t="???.pdf").startswith("document-")
+    assert one(spark, text.artifact_folder(F.col("t")), t="C:\\in\\a b.pdf") == "a b"
+    assert one(spark, text.artifact_folder(F.col("t")), t="???.pdf").startswith("document-")
     assert one(spark, text.mask_url(F.col("t")), t="postgresql://u:p@ss@h/db") == "postgresql://u:***@h/db"
     assert one(spark, legacy.tcvn3_repair(F.col("t")), t="Ngµy giao hµng") == "Ngày giao hàng"
     assert one(spark, legacy.tcvn3_repair(F.col("t")), t="Nguyên Văn") == "Nguyên Văn"
