@@ -1,13 +1,13 @@
-"""Byte-level BPE encoding and decoding of a corpus with a public vocabulary, in Spark expressions.
+"""Byte-level BPE encoding and decoding of a corpus with a public vocabulary.
 
 A text is cut into words (a run of non-spaces with the space before it, or white space), a word into the tokenizer's
 pre-tokens, and a pre-token's bytes are folded by ranked merges: each step merges the first pair of the lowest rank and
 looks up the ranks of the two pairs that it makes, until no pair has a rank.
 
-The fold runs once for each distinct word that many documents share: the ``hot_words`` most widespread words of the
-corpus are encoded first and held as one value; its size is bounded by ``hot_words`` times ``HOT_BYTES``. Any other
-word is folded where it stands, so that the ids do not depend on what is held. The maps are arrays of buckets by
-hash, because Spark looks a map's key up by scanning it.
+Texts are encoded in one Arrow pass without a shuffle. NumPy cuts the bytes of many texts into words at once, Arrow
+numbers the distinct ones, and only those are folded; their ids are then put where the words stand. A worker keeps the
+ids of the words it met last, of bounded number and size, which saves folds and never changes ids. Decoding is a Spark
+expression. The map of ``bucketed_map`` is an array of buckets by hash, because Spark looks a map's key up by scanning it.
 
 Defined results: null and empty texts have the empty list. Strings of special tokens are ordinary text.
 """
@@ -15,29 +15,38 @@ Defined results: null and empty texts have the empty list. Strings of special to
 from __future__ import annotations
 
 import base64
+from array import array
+from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A run of non-spaces with the space before it, or white space; (?U) makes white space the Unicode property.
-WORDS = r"(?U) ?\S++|\s+(?!\S)|\s+"
 #: The tokenizer's pattern within a word; letters first, which cannot change a match and saves attempts. Fixed values.
-PRETOKENS = r"(?U) ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s++"
+PRETOKENS = regex.compile(r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\p{White_Space}\p{L}\p{N}]++|\p{White_Space}++")
+#: White space outside ASCII in UTF-8, the Unicode property: first byte, the others, as one number.
+WIDE_SPACES = {0xC2: [0x85, 0xA0], 0xE1: [0x9A80], 0xE2: [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F], 0xE3: [0x8080]}
 
-RANK_BUCKETS = 16_384
-HOT_BUCKETS = 65_536
-HOT_BYTES = 64  # longer words are folded where they stand
+HOT_BYTES = 64  # the ids of longer words are not kept
+CHUNK_BYTES = 8 << 20  # about the most bytes of texts that are cut at once; a longer text is cut alone
 TOKENIZER_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
-def ranks(spark: SparkSession, path: str = TOKENIZER_PATH) -> DataFrame:
-    """(token, rank): the vocabulary; its size is that of the file, here 50,256 rows."""
+def vocabulary(path: str) -> dict[bytes, int]:
+    """The rank of each token; its size is that of the file, here 50,256 tokens."""
     pairs = [line.split() for line in Path(path).read_bytes().splitlines() if line]
-    return spark.createDataFrame(
-        pa.table({"token": pa.array([base64.b64decode(t) for t, _ in pairs], pa.binary()), "rank": pa.array([int(r) for _, r in pairs], pa.int32())})
-    )
+    return {base64.b64decode(token): int(rank) for token, rank in pairs}
+
+
+def ranks(spark: SparkSession, path: str = TOKENIZER_PATH) -> DataFrame:
+    """(token, rank): the vocabulary."""
+    held = vocabulary(path)
+    return spark.createDataFrame(pa.table({"token": pa.array(held, pa.binary()), "rank": pa.array(held.values(), pa.int32())}))
 
 
 def _bucket(key: Column, buckets: int) -> Column:
@@ -67,68 +76,139 @@ def look_up(held: Column, key: Column, buckets: int) -> Column:
     return F.try_element_at(F.get(held, _bucket(key, buckets)), key)
 
 
-def fold(pretoken: Column, held_ranks: Column) -> Column:
-    """The ids of one pre-token."""
-    octets = F.encode(pretoken, "UTF-8")
-    pieces = F.transform(F.sequence(F.lit(1), F.octet_length(octets)), lambda i: F.substring(octets, i, F.lit(1)))
-
-    def rank_of(token: Column) -> Column:
-        return look_up(held_ranks, token, RANK_BUCKETS)
-
-    def merged(state: Column, at: Column) -> Column:
-        """The pair at ``at`` made one piece; only the ranks of the pairs on its two sides are looked up anew."""
-        parts, ranked = state["parts"], state["ranks"]
-
-        def with_piece(piece: Column) -> Column:
-            none = F.array().cast("array<int>")
-            before = F.when(at > 1, F.array(rank_of(F.concat(F.get(parts, at - 2), piece)))).otherwise(none)
-            after = F.when(at < F.size(ranked), F.array(rank_of(F.concat(piece, F.get(parts, at + 1))))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(parts, F.lit(1), at - 1), F.array(piece), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                F.concat(F.slice(ranked, F.lit(1), F.greatest(at - 2, F.lit(0))), before, after, F.slice(ranked, at + 2, F.size(parts))).alias("ranks"),
-            )
-
-        return F.transform(F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), with_piece)[0]
+def word_starts(octets: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Where the words of texts in UTF-8 begin that stand one after another; ``begins`` are the places of the texts.
+    A word is what ``( ?\\S+|\\s+(?!\\S)|\\s+)`` finds: the last character of white space before a non-space belongs to
+    the word that follows if it is a space, and else is a word of its own."""
+    space = (octets == 32) | ((octets >= 9) & (octets <= 13))
+    if (octets >= 0x80).any():
+        _add_wide_spaces(octets, space)
+    cut = np.zeros(len(octets), bool)
+    cut[begins] = True
+    after = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    after = after[~cut[after]]
+    cut[1:] |= space[1:] & ~space[:-1]
+    before = octets[after - 1]
+    last = after - np.where(before < 0x80, 1, np.where(octets[after - 2] == 0xC2, 2, 3))
+    cut[last] = True
+    cut[after[before != 32]] = True
+    return np.flatnonzero(cut)
+
+
+def _add_wide_spaces(octets: np.ndarray, space: np.ndarray) -> None:
+    for lead, rest in WIDE_SPACES.items():
+        width = 2 if lead == 0xC2 else 3
+        at = np.flatnonzero(octets[: len(octets) - width + 1] == lead)
+        value = octets[at + 1].astype(int)
+        at = at[np.isin(value if width == 2 else value << 8 | octets[at + 2], rest)]
+        for i in range(width):
+            space[at + i] = True
+
+
+class Encoder:
+    """Ids of words by ranked merges. Those of the words met last are kept, of twice ``kept`` words at most."""
+
+    def __init__(self, ranked: dict[bytes, int], kept: int):
+        self.ranked, self.kept = ranked, kept
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def word_ids(self, word: bytes) -> bytes:
+        """The ids of a word as bytes of 32-bit numbers."""
+        ids = self.young.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                pretokens = PRETOKENS.findall(word.decode("utf-8", "replace"))
+                ids = array("i", [i for p in pretokens for i in self.fold(p.encode())]).tobytes()
+            if len(word) <= HOT_BYTES:
+                if len(self.young) >= self.kept:
+                    self.young, self.old = {}, self.young
+                self.young[word] = ids
+        return ids
+
+    def fold(self, octets: bytes) -> list[int]:
+        """The ids of one pre-token. Pairs wait in a heap, so that time grows little faster than the length."""
+        rank_of = self.ranked.get
+        whole = rank_of(octets)
+        if whole is not None:
+            return [whole]
+        size = len(octets)
+        ends = list(range(1, size + 1))  # of the piece that begins here
+        starts = list(range(-1, size))  # of the piece before the one that begins here
+        pair: list[int | None] = [rank_of(octets[i : i + 2]) for i in range(size - 1)] + [None]  # rank of the piece here with the next
+        waiting = [(rank, i) for i, rank in enumerate(pair) if rank is not None]
+        heapify(waiting)
+        while waiting:
+            rank, at = heappop(waiting)
+            if pair[at] != rank:
+                continue  # one of the two was merged meanwhile
+            gone = ends[at]
+            end = ends[at] = ends[gone]
+            pair[gone] = pair[at] = None
+            if end < size:
+                starts[end] = at
+                pair[at] = new = rank_of(octets[at : ends[end]])
+                if new is not None:
+                    heappush(waiting, (new, at))
+            if at:
+                before = starts[at]
+                pair[before] = new = rank_of(octets[before:end])
+                if new is not None:
+                    heappush(waiting, (new, before))
+        ids, at = [], 0
+        while at < size:
+            ids.append(self.ranked[octets[at : ends[at]]])
+            at = ends[at]
+        return ids
+
+    def texts_ids(self, texts: pa.Array) -> pa.Array:
+        """The list of ids of each text; ``texts`` as large binary without nulls."""
+        _, offsets, octets = texts.buffers()
+        at = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+        first, size = int(at[0]), int(at[-1] - at[0])
+        at = at - first
+        if not size:
+            return pa.array([[]] * len(texts), pa.list_(pa.int32()))
+        octets = octets.slice(first, size)
+        starts = word_starts(np.frombuffer(octets, np.uint8), at[:-1][at[:-1] < at[1:]])
+        places = pa.py_buffer(np.append(starts, size).astype(np.int32))
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, places, octets]).dictionary_encode()
+        ids = [self.word_ids(w) for w in words.dictionary.to_pylist()]
+        counts = np.concatenate(([0], np.cumsum([len(i) // 4 for i in ids]))).astype(np.int32)
+        every = pa.ListArray.from_arrays(counts, pa.array(np.frombuffer(b"".join(ids), np.int32))).take(words.indices)
+        return pa.ListArray.from_arrays(every.offsets.take(pa.array(np.searchsorted(starts, at))), every.values)
+
+
+def encode_batch(encoder: Encoder, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, an id and a text, with the ids of the text, in runs of about ``CHUNK_BYTES`` of texts."""
+    texts = batch.column(1).cast(pa.large_binary()).fill_null(b"")
+    ends = np.cumsum(pc.binary_length(texts).to_numpy())
+    at = 0
+    while at < len(texts):
+        most = (ends[at - 1] if at else 0) + CHUNK_BYTES
+        to = max(at + 1, int(np.searchsorted(ends, most, "right")))
+        yield pa.RecordBatch.from_arrays([batch.column(0)[at:to], encoder.texts_ids(texts[at:to])], names=[batch.schema.names[0], "ids"])
+        at = to
 
-    def step(state: Column, _: Column) -> Column:
-        least = F.array_position(state["ranks"], F.array_min(state["ranks"])).cast("int")
-        return F.transform(F.array(least), lambda at: F.when(at.isNull(), state).otherwise(merged(state, at)))[0]
 
-    def start(parts: Column) -> Column:
-        pairs = F.zip_with(F.slice(parts, F.lit(1), F.size(parts) - 1), F.slice(parts, F.lit(2), F.size(parts)), lambda a, b: rank_of(F.concat(a, b)))
-        return F.struct(parts.alias("parts"), pairs.alias("ranks"))
-
-    begun = F.transform(F.array(pieces), start)[0]
-    most = F.greatest(F.octet_length(octets) - 1, F.lit(1))  # each step makes one piece of two
-    folded = F.aggregate(F.sequence(F.lit(1), most), begun, step, lambda state: F.transform(state["parts"], rank_of))
-    whole = rank_of(octets)
-    return F.when(whole.isNotNull(), F.array(whole)).otherwise(folded)
-
-
-def word_ids(word: Column, held_ranks: Column) -> Column:
-    return F.flatten(F.transform(F.regexp_extract_all(word, F.lit(PRETOKENS), F.lit(0)), lambda p: fold(p, held_ranks)))
-
-
-def words_of(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+def encode(docs: DataFrame, id_col: str, text: str, hot_words: int = 131_072, path: str = TOKENIZER_PATH) -> DataFrame:
+    """(id_col, ids): the ids of each row's text, without special tokens. ``hot_words`` bounds the words that are kept."""
+    held = docs.sparkSession.sparkContext.broadcast(Encoder(vocabulary(path), hot_words))
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = held.value  # stays in the worker, with the words it keeps
+        for batch in batches:
+            yield from encode_batch(encoder, batch)
 
-def encode(docs: DataFrame, id_col: str, text: str, hot_words: int = 131_072, path: str = TOKENIZER_PATH) -> DataFrame:
-    """(id_col, ids): the ids of each row's text, without special tokens."""
-    held_ranks = bucketed_map(ranks(docs.sparkSession, path), "token", "rank", RANK_BUCKETS)
-    spread = docs.select(F.explode(F.array_distinct(words_of(F.col(text)))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    hot = spread.where(F.octet_length("word") <= HOT_BYTES).orderBy(F.desc("n"), "word").limit(hot_words)
-    hot = hot.repartition(64).select("word", word_ids(F.col("word"), held_ranks).alias("ids"))
-    held = bucketed_map(hot, "word", "ids", HOT_BUCKETS)
-    ids = F.flatten(F.transform(words_of(F.col(text)), lambda w: F.coalesce(look_up(held, w, HOT_BUCKETS), word_ids(w, held_ranks))))
-    return docs.select(id_col, F.coalesce(ids, F.array().cast("array<int>")).alias("ids"))
+    return docs.select(id_col, text).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(tokens: DataFrame, id_col: str, ids: str, path: str = TOKENIZER_PATH) -> DataFrame:
     """(id_col, text): the pieces of the ids, concatenated; an id outside the vocabulary makes the text null, as does
     a null list. Bytes that are no UTF-8 become replacement characters."""
-    vocabulary = ranks(tokens.sparkSession, path)
-    held = vocabulary.agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("v"))
+    held = ranks(tokens.sparkSession, path).agg(F.array_sort(F.collect_list(F.struct("rank", "token"))).alias("v"))
     held = held_literal(held.select(F.transform("v", lambda e: e["token"]).alias("held")))
     pieces = F.transform(ids, lambda i: F.hex(F.get(held, i.cast("int"))))  # joined at once: appending would copy the text for each piece
     joined = F.when(~F.exists(pieces, lambda p: p.isNull()), F.unhex(F.array_join(pieces, "")))
